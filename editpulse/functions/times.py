@@ -18,8 +18,6 @@ _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _CLOCK = r"[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?"
 _ZONE = r"(?:Z|[+-][0-9]{2}(?::?[0-9]{2}(?::[0-9]{2})?)?)"
 _ISO = rf"\A{_DATE}(?:{_CLOCK}{_ZONE}?)?\z"
-_ISO_WITH_ZONE = rf"{_CLOCK}{_ZONE}\z"
-_DATE_ONLY = rf"\A{_DATE}\z"
 
 
 def epoch_to_timestamp(seconds: Column) -> Column:
@@ -30,20 +28,20 @@ def epoch_to_timestamp(seconds: Column) -> Column:
 
 def iso_to_timestamp(text: Column) -> Column:
     """ISO-8601 text to a timestamp; text without a zone is taken as UTC."""
-    dotted = F.translate(text, ",", ".")
-    zoned = (
-        F.when(dotted.rlike(_ISO_WITH_ZONE), dotted)
-        .when(dotted.rlike(_DATE_ONLY), F.concat(dotted, F.lit("T00:00:00Z")))
-        .otherwise(F.concat(dotted, F.lit("Z")))
-    )
-    return F.when(text.rlike(_ISO), F.try_to_timestamp(zoned))
+    iso = F.translate(F.regexp_extract(text, _ISO, 0), ",", ".")
+    with_clock = F.when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00"))).otherwise(iso)
+    # A "Z" after a zone makes no timestamp, so the first reading is for text without one.
+    return F.coalesce(F.try_to_timestamp(F.concat(with_clock, F.lit("Z"))), F.try_to_timestamp(with_clock))
+
+
+def numeric_text(text: Column) -> Column:
+    """Decimal text as double; null for any other text."""
+    return F.regexp_extract(strip(text), _NUMBER, 0).try_cast("double")
 
 
 def parse_timestamp(text: Column) -> Column:
     """Numeric text as epoch seconds, other text as ISO-8601; null when neither fits."""
-    digits = strip(text)
-    number = F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
-    return F.coalesce(epoch_to_timestamp(number), iso_to_timestamp(text))
+    return F.coalesce(epoch_to_timestamp(numeric_text(text)), iso_to_timestamp(text))
 
 
 def to_iso(ts: Column) -> Column:

@@ -7,11 +7,13 @@ tell a missing key from an explicit null and a number from numeric text.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions import looks_anonymous, parse_timestamp, share, strip
-from ..functions.times import epoch_to_timestamp
+from ..functions import looks_anonymous, share, strip
+from ..functions.times import epoch_to_timestamp, iso_to_timestamp, numeric_text
 from .filters import ingest_condition
 
 RAW_FIELDS = (
@@ -22,6 +24,9 @@ RAW_FIELDS = (
 # Quotes must be double quotes, as in JSON proper.
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
+# JSON texts of the values that count as false.
+_FALSY = r'\A(?:null|false|""|\[\]|\{\}|-?0(?:\.0*)?(?:[eE].*)?)\z'
+
 _INTEGER = r"\A[+-]?[0-9]+(?:_[0-9]+)*\z"
 
 
@@ -40,85 +45,106 @@ def single_object(parsed: Column) -> Column:
     return F.coalesce((F.size(parsed) == 1) & F.get(parsed, F.lit(0)).isNotNull(), F.lit(False))
 
 
-def kind(v: Column) -> Column:
-    """JSON type name of a variant; null when the key is absent."""
-    return F.schema_of_variant(v)
+@dataclass(frozen=True)
+class JsonValue:
+    """A parsed JSON value in three columns: the variant, its type name and its text.
+
+    ``kind`` is null when the key is absent, ``text`` unless the value is a JSON
+    string. Both are computed once per record, since nearly every rule asks for
+    them and reading a variant is dear.
+    """
 
+    name: str
 
-def as_text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+    @property
+    def variant(self) -> Column:
+        return F.col(f"_v_{self.name}")
 
+    @property
+    def kind(self) -> Column:
+        return F.col(f"_k_{self.name}")
 
-def as_double(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "double")
+    @property
+    def text(self) -> Column:
+        return F.col(f"_t_{self.name}")
 
+    @property
+    def absent(self) -> Column:
+        return self.kind.isNull()
 
-def only_text(v: Column) -> Column:
-    """The value when it is a JSON string, else null."""
-    return F.when(kind(v) == "STRING", as_text(v))
+    @property
+    def is_object(self) -> Column:
+        return F.startswith(self.kind, F.lit("OBJECT"))
 
+    def number(self) -> Column:
+        """Numbers as they are and flags as 0 or 1; null for text and anything else."""
+        return F.when(self.kind != "STRING", F.try_variant_get(self.variant, "$", "double"))
 
-def text_or(v: Column, absent: str) -> Column:
-    """A fixed value for an absent key, null for anything that is not a string."""
-    return F.when(v.isNull(), F.lit(absent)).otherwise(only_text(v))
+    def text_or(self, default: str) -> Column:
+        """A fixed value for an absent key, null for anything that is not a string."""
+        return F.when(self.absent, F.lit(default)).otherwise(self.text)
 
+    def truthy(self) -> Column:
+        """Whether the value counts as true: empty, zero, null and absent do not."""
+        return F.coalesce(~F.to_json(self.variant).rlike(_FALSY), F.lit(False))
 
-def is_number(v: Column) -> Column:
-    return kind(v).rlike(r"\A(?:BIGINT|DOUBLE|DECIMAL)")
 
+def _with_kind_and_text(df: DataFrame, values: list[JsonValue]) -> DataFrame:
+    kinds = df.select("*", *[F.schema_of_variant(v.variant).alias(f"_k_{v.name}") for v in values])
+    texts = [F.when(v.kind == "STRING", F.try_variant_get(v.variant, "$", "string")) for v in values]
+    return kinds.select("*", *[t.alias(f"_t_{v.name}") for t, v in zip(texts, values)])
 
-def truthy(v: Column) -> Column:
-    """Whether a JSON value counts as true: empty, zero, null and absent do not."""
-    k = kind(v)
-    return (
-        F.when(v.isNull() | (k == "VOID"), F.lit(False))
-        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(k == "STRING", as_text(v) != "")
-        .when(F.startswith(k, F.lit("ARRAY")), F.to_json(v) != "[]")
-        .when(F.startswith(k, F.lit("OBJECT")), k != "OBJECT<>")
-        .otherwise(as_double(v) != 0.0)
+
+def with_json_values(
+    df: DataFrame, value: Column, names: tuple[str, ...]
+) -> tuple[DataFrame, dict[str, JsonValue]]:
+    """Parse ``value`` once; adds ``_ok`` (one JSON object) and the columns of the values."""
+    parsed = df.select("*", json_fields(value, names).alias("_json"))
+    fields = parsed.select(
+        *df.columns,
+        single_object(F.col("_json")).alias("_ok"),
+        *[F.get("_json", F.lit(0))[name].alias(f"_v_{name}") for name in names],
     )
+    values = [JsonValue(name) for name in names]
+    return _with_kind_and_text(fields, values), {v.name: v for v in values}
 
 
-def timestamp_of(v: Column) -> Column:
-    flag = F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-    number = F.when(is_number(v), as_double(v))
-    return F.coalesce(epoch_to_timestamp(F.coalesce(number, flag)), parse_timestamp(only_text(v)))
+def epoch_seconds_of(v: JsonValue) -> Column:
+    return F.coalesce(v.number(), numeric_text(v.text))
 
 
-def namespace_of(v: Column) -> Column:
-    digits = strip(only_text(v))
-    from_text = F.when(digits.rlike(_INTEGER), F.translate(digits, "_", "").try_cast("int"))
-    from_flag = F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
-    from_number = F.when(is_number(v), as_double(v).try_cast("int"))
-    return F.when(v.isNull(), F.lit(0)).otherwise(F.coalesce(from_number, from_text, from_flag))
+def namespace_of(v: JsonValue) -> Column:
+    digits = F.regexp_extract(strip(v.text), _INTEGER, 0)
+    from_text = F.translate(digits, "_", "").try_cast("int")
+    return F.when(v.absent, F.lit(0)).otherwise(F.coalesce(v.number().try_cast("int"), from_text))
 
 
 def normalise(raw: DataFrame, value: str = "value") -> DataFrame:
     """Add ``event`` (the normalised struct) and ``reject_reason`` (null when the record is good)."""
-    parsed = raw.withColumn("_json", json_fields(F.col(value), RAW_FIELDS))
-    parsed = parsed.withColumn("_ok", single_object(F.col("_json")))
-    field = {name: F.get("_json", F.lit(0))[name] for name in RAW_FIELDS}
-
-    meta = field["meta"]
-    meta_is_object = F.startswith(kind(meta), F.lit("OBJECT"))
-    domain = F.when(meta_is_object, F.try_variant_get(meta, "$.domain", "variant"))
-    typed = parsed.select(
+    parsed, field = with_json_values(raw, F.col(value), RAW_FIELDS)
+    meta, server = field["meta"], field["server_name"]
+    domain = JsonValue("domain")
+    nested = parsed.select(
+        "*", F.when(meta.is_object, F.try_variant_get(meta.variant, "$.domain", "variant")).alias("_v_domain")
+    )
+    nested = _with_kind_and_text(nested, [domain])
+    nested = nested.select("*", epoch_seconds_of(field["timestamp"]).alias("_seconds"))
+    timestamp = F.coalesce(epoch_to_timestamp(F.col("_seconds")), iso_to_timestamp(field["timestamp"].text))
+    typed = nested.select(
         *raw.columns,
         "_ok",
-        (F.coalesce(meta_is_object, F.lit(False)) | ~truthy(meta)).alias("_meta_ok"),
-        timestamp_of(field["timestamp"]).alias("_timestamp"),
-        text_or(field["title"], "").alias("_title"),
-        text_or(field["user"], "unknown").alias("_user"),
-        only_text(field["user"]).alias("_given_user"),
-        truthy(field["anonymous"]).alias("_anonymous"),
-        truthy(field["bot"]).alias("_bot"),
-        F.coalesce(only_text(field["comment"]), F.lit("")).alias("_comment"),
-        text_or(field["type"], "edit").alias("_event_type"),
+        (F.coalesce(meta.is_object, F.lit(False)) | ~meta.truthy()).alias("_meta_ok"),
+        timestamp.alias("_timestamp"),
+        field["title"].text_or("").alias("_title"),
+        field["user"].text_or("unknown").alias("_user"),
+        field["user"].text.alias("_given_user"),
+        field["anonymous"].truthy().alias("_anonymous"),
+        field["bot"].truthy().alias("_bot"),
+        F.coalesce(field["comment"].text, F.lit("")).alias("_comment"),
+        field["type"].text_or("edit").alias("_event_type"),
         namespace_of(field["namespace"]).alias("_namespace"),
-        text_or(field["wiki"], "").alias("_wiki"),
-        F.when(domain.isNotNull(), only_text(domain))
-        .otherwise(text_or(field["server_name"], "")).alias("_server_name"),
+        field["wiki"].text_or("").alias("_wiki"),
+        F.when(domain.absent, server.text_or("")).otherwise(domain.text).alias("_server_name"),
     )
 
     reason = (
@@ -194,14 +220,8 @@ def extract_titles(
     """
     text = F.col(column).cast("string")
     names = ("title",) + ((fallback_key,) if fallback_key else ())
-    if replace_bad_bytes:
-        text = F.make_valid_utf8(text)
-    else:
-        text = F.when(F.is_valid_utf8(text), text)
-    parsed = records.withColumn("_json", json_fields(text, names))
-    usable = [
-        F.when(truthy(v), F.coalesce(only_text(v), F.to_json(v)))
-        for v in (F.get("_json", F.lit(0))[name] for name in names)
-    ]
-    title = F.when(single_object(F.col("_json")), F.coalesce(*usable))
+    text = F.make_valid_utf8(text) if replace_bad_bytes else F.when(F.is_valid_utf8(text), text)
+    parsed, field = with_json_values(records, text, names)
+    usable = [F.when(v.truthy(), F.coalesce(v.text, F.to_json(v.variant))) for v in field.values()]
+    title = F.when(F.col("_ok"), F.coalesce(*usable))
     return parsed.select(*records.columns, title.alias("title")).where("title is not null")
