@@ -17,6 +17,7 @@ _NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _CLOCK = r"[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?"
 _ZONE = r"(?:Z|[+-][0-9]{2}(?::?[0-9]{2}(?::[0-9]{2})?)?)"
+_CLOCK_AT_END = r"([T ][0-9:.]+)\z"
 _ISO = rf"\A{_DATE}(?:{_CLOCK}{_ZONE}?)?\z"
 
 
@@ -27,11 +28,12 @@ def epoch_to_timestamp(seconds: Column) -> Column:
 
 
 def iso_to_timestamp(text: Column) -> Column:
-    """ISO-8601 text to a timestamp; text without a zone is taken as UTC."""
+    """ISO-8601 text to a timestamp; a clock time without a zone is taken as UTC.
+
+    A date alone starts at midnight of the session time zone, which the engine pins to UTC.
+    """
     iso = F.translate(F.regexp_extract(text, _ISO, 0), ",", ".")
-    with_clock = F.when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00"))).otherwise(iso)
-    # A "Z" after a zone makes no timestamp, so the first reading is for text without one.
-    return F.coalesce(F.try_to_timestamp(F.concat(with_clock, F.lit("Z"))), F.try_to_timestamp(with_clock))
+    return F.try_to_timestamp(F.regexp_replace(iso, _CLOCK_AT_END, "$1Z"))
 
 
 def numeric_text(text: Column) -> Column:

@@ -16,10 +16,8 @@ from ..functions import looks_anonymous, share, strip
 from ..functions.times import epoch_to_timestamp, iso_to_timestamp, numeric_text
 from .filters import ingest_condition
 
-RAW_FIELDS = (
-    "timestamp", "title", "user", "anonymous", "bot", "comment",
-    "type", "namespace", "wiki", "server_name", "meta",
-)
+TYPED_FIELDS = ("timestamp", "title", "user", "comment", "type", "namespace", "wiki", "server_name", "meta")
+FLAG_FIELDS = ("anonymous", "bot")
 
 # Quotes must be double quotes, as in JSON proper.
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
@@ -95,18 +93,18 @@ def _with_kind_and_text(df: DataFrame, values: list[JsonValue]) -> DataFrame:
     return kinds.select("*", *[t.alias(f"_t_{v.name}") for t, v in zip(texts, values)])
 
 
-def with_json_values(
-    df: DataFrame, value: Column, names: tuple[str, ...]
-) -> tuple[DataFrame, dict[str, JsonValue]]:
-    """Parse ``value`` once; adds ``_ok`` (one JSON object) and the columns of the values."""
-    parsed = df.select("*", json_fields(value, names).alias("_json"))
+def with_json_values(df: DataFrame, value: Column, names: tuple[str, ...], flags: tuple[str, ...] = ()) -> DataFrame:
+    """Parse ``value`` once; adds ``_ok`` (one JSON object) and the columns of each :class:`JsonValue`.
+
+    Values named in ``flags`` are only asked for their truth and get no type and text.
+    """
+    parsed = df.select("*", json_fields(value, names + flags).alias("_json"))
     fields = parsed.select(
         *df.columns,
         single_object(F.col("_json")).alias("_ok"),
-        *[F.get("_json", F.lit(0))[name].alias(f"_v_{name}") for name in names],
+        *[F.get("_json", F.lit(0))[name].alias(f"_v_{name}") for name in names + flags],
     )
-    values = [JsonValue(name) for name in names]
-    return _with_kind_and_text(fields, values), {v.name: v for v in values}
+    return _with_kind_and_text(fields, [JsonValue(name) for name in names])
 
 
 def epoch_seconds_of(v: JsonValue) -> Column:
@@ -121,7 +119,8 @@ def namespace_of(v: JsonValue) -> Column:
 
 def normalise(raw: DataFrame, value: str = "value") -> DataFrame:
     """Add ``event`` (the normalised struct) and ``reject_reason`` (null when the record is good)."""
-    parsed, field = with_json_values(raw, F.col(value), RAW_FIELDS)
+    parsed = with_json_values(raw, F.col(value), TYPED_FIELDS, FLAG_FIELDS)
+    field = {name: JsonValue(name) for name in TYPED_FIELDS + FLAG_FIELDS}
     meta, server = field["meta"], field["server_name"]
     domain = JsonValue("domain")
     nested = parsed.select(
@@ -221,7 +220,8 @@ def extract_titles(
     text = F.col(column).cast("string")
     names = ("title",) + ((fallback_key,) if fallback_key else ())
     text = F.make_valid_utf8(text) if replace_bad_bytes else F.when(F.is_valid_utf8(text), text)
-    parsed, field = with_json_values(records, text, names)
-    usable = [F.when(v.truthy(), F.coalesce(v.text, F.to_json(v.variant))) for v in field.values()]
+    parsed = with_json_values(records, text, names)
+    values = [JsonValue(name) for name in names]
+    usable = [F.when(v.truthy(), F.coalesce(v.text, F.to_json(v.variant))) for v in values]
     title = F.when(F.col("_ok"), F.coalesce(*usable))
     return parsed.select(*records.columns, title.alias("title")).where("title is not null")
