@@ -23,7 +23,7 @@ from editpulse.operators import display, filters, history, live, normalise, rate
 from editpulse.plans import serving, speed_layer
 from editpulse.plans.batch_layer import run_batch_layer
 from editpulse.schemas import SNAPSHOT
-from editpulse.session import SQL_CONF, run_folder
+from editpulse.session import configure, run_folder
 from editpulse.sources import (
     read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_stream, split_landing, union_parts,
 )
@@ -40,8 +40,7 @@ SMALLEST = "/root/testdata/sf0.001"
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", SQL_CONF["spark.sql.session.timeZone"])
-    return edits_from_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return edits_from_log(configure(spark).read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def plain(df: DataFrame) -> DataFrame:

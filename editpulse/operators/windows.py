@@ -10,19 +10,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULTS
 
 
+# The column the event store is partitioned by.
+DATE_PARTITION = "event_date"
+
+
 def seconds_interval(seconds: int) -> Column:
     return F.make_dt_interval(secs=F.lit(seconds))
 
 
-def latest_instant(events: DataFrame, ts: str = "timestamp") -> Column:
-    """The newest timestamp as a scalar subquery: a one-column scan, no driver round trip."""
-    return events.agg(F.max(ts)).scalar()
+def window_start(events: DataFrame, seconds: int, anchor: Column | datetime | None, ts: str) -> Column:
+    """Where the trailing window begins.
 
-
-def anchor_column(events: DataFrame, anchor: Column | datetime | None, ts: str) -> Column:
+    Without an anchor this is a scalar subquery over one column. The subtraction
+    is done inside it: a bare subquery value is pushed down to the Parquet scan.
+    """
+    length = seconds_interval(seconds)
     if anchor is None:
-        return latest_instant(events, ts)
-    return anchor if isinstance(anchor, Column) else F.lit(anchor)
+        return events.agg(F.max(ts) - length).scalar()
+    return (anchor if isinstance(anchor, Column) else F.lit(anchor)) - length
 
 
 def trailing(
@@ -31,10 +36,18 @@ def trailing(
     anchor: Column | datetime | None = None,
     ts: str = "timestamp",
 ) -> DataFrame:
-    """Whole events with ``anchor - seconds <= ts <= anchor``; the anchor defaults to the newest event."""
-    now = anchor_column(events, anchor, ts)
-    kept = events.where(F.col(ts) >= now - seconds_interval(seconds))
-    return kept if anchor is None else kept.where(F.col(ts) <= now)
+    """Whole events with ``anchor - seconds <= ts <= anchor``; the anchor defaults to the newest event.
+
+    On the stored table the dates before the window are not read at all. Give an
+    anchor there, or finding the newest event reads the whole time column.
+    """
+    start = window_start(events, seconds, anchor, ts)
+    kept = events.where(F.col(ts) >= start)
+    if DATE_PARTITION in events.columns:
+        kept = kept.where(F.col(DATE_PARTITION) >= F.to_date(start))
+    if anchor is None:
+        return kept
+    return kept.where(F.col(ts) <= (anchor if isinstance(anchor, Column) else F.lit(anchor)))
 
 
 def before_trailing(
@@ -44,7 +57,7 @@ def before_trailing(
     ts: str = "timestamp",
 ) -> DataFrame:
     """The history a trailing window leaves out: ``ts < anchor - seconds``."""
-    return events.where(F.col(ts) < anchor_column(events, anchor, ts) - seconds_interval(seconds))
+    return events.where(F.col(ts) < window_start(events, seconds, anchor, ts))
 
 
 def title_counts(events: DataFrame) -> DataFrame:

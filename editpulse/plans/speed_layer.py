@@ -15,8 +15,8 @@ from ..functions import to_iso
 def window_counts(
     events: DataFrame, window_seconds: int, anchor: Column | datetime | None = None
 ) -> DataFrame:
-    recent = windows.trailing(with_title(events), window_seconds, anchor)
-    return windows.title_counts(recent)
+    recent = windows.trailing(events, window_seconds, anchor)
+    return windows.title_counts(with_title(recent))
 
 
 def trending_now(

@@ -13,6 +13,8 @@ SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot does not compile methods beyond 8000 bytes; split generated code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -25,6 +27,13 @@ def build_session(app_name: str = "editpulse", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the engine's SQL settings."""
+    for key, value in SQL_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
