@@ -25,7 +25,7 @@ from editpulse.plans.batch_layer import run_batch_layer
 from editpulse.schemas import SNAPSHOT
 from editpulse.session import configure, run_folder
 from editpulse.sources import (
-    read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_stream, split_landing, union_parts,
+    read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, union_parts,
 )
 from editpulse.sources.event_log import edits_from_log, raw_changes
 from editpulse.sources.tables import create_event_table
@@ -391,7 +391,7 @@ def run_trending_stream(spark, sf_dir) -> str:
 
 def stream_trending(spark, sf_dir):
     out = run_trending_stream(spark, sf_dir)
-    return plain(spark.read.parquet(f"{out}/ranked").drop("batch_id"))
+    return plain(live.ranked_rows(read_snapshots(spark, out)))
 
 
 def stream_snapshot(spark, sf_dir):

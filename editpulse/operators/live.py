@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import share
@@ -30,8 +32,12 @@ def window_totals(counts: DataFrame) -> DataFrame:
 
 def ranked_list(ranked: DataFrame, columns: list[str]) -> DataFrame:
     """Ranked rows (at most the top-N) as one array in rank order."""
+    return ranked.agg(_in_rank_order(columns).alias("trending_articles"))
+
+
+def _in_rank_order(columns: list[str]) -> Column:
     entries = F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("row"))))
-    return ranked.agg(F.transform(entries, lambda e: e["row"]).alias("trending_articles"))
+    return F.transform(entries, lambda e: e["row"])
 
 
 def row_columns(ranked: DataFrame) -> list[str]:
@@ -54,6 +60,37 @@ def snapshot(
     )
 
 
+def snapshots(
+    counts: DataFrame,
+    ranked: DataFrame,
+    window_seconds: int,
+    generated_at: Column,
+    per: Sequence[str] = ("window_start", "window_end"),
+) -> DataFrame:
+    """The document of every window at once: totals by window, joined to its ranked articles."""
+    keys = list(per)
+    totals = counts.groupBy(*keys).agg(
+        F.sum("recent_edits").alias("total_events_in_window"),
+        F.count("title").alias("distinct_articles_in_window"),
+    )
+    row_type = ranked.select(F.array(F.struct(*row_columns(ranked))).alias("a")).schema["a"].dataType
+    lists = ranked.groupBy(*keys).agg(_in_rank_order(row_columns(ranked)).alias("trending_articles"))
+    return totals.join(lists, keys, "left").select(
+        generated_at.alias("generated_at"),
+        *keys,
+        F.lit(window_seconds).alias("window_seconds"),
+        "total_events_in_window",
+        "distinct_articles_in_window",
+        F.coalesce("trending_articles", F.array().cast(row_type)).alias("trending_articles"),
+    )
+
+
+def ranked_rows(documents: DataFrame) -> DataFrame:
+    """The ranked articles of stored documents as rows again."""
+    entries = documents.select("window_start", "window_end", F.posexplode("trending_articles").alias("at", "row"))
+    return entries.select("window_start", "window_end", "row.*", (F.col("at") + 1).alias("rank"))
+
+
 def live_document(metrics: DataFrame, ranked: DataFrame, generated_at: Column) -> DataFrame:
     """Live metrics with the trending list nested."""
     return metrics.select(

@@ -46,6 +46,14 @@ SNAPSHOT = T.StructType([
     T.StructField("trending_articles", T.ArrayType(TRENDING_ROW)),
 ])
 
+# As stored by the stream: with the window the document describes.
+WINDOW_SNAPSHOT = T.StructType([
+    SNAPSHOT["generated_at"],
+    T.StructField("window_start", T.TimestampType()),
+    T.StructField("window_end", T.TimestampType()),
+    *SNAPSHOT.fields[1:],
+])
+
 METRIC = T.StructType([
     T.StructField("namespace", T.StringType()),
     T.StructField("metric_name", T.StringType()),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def overwrite_table(frame: DataFrame, root: str, name: str, files: int | None = None) -> str:
@@ -17,13 +17,18 @@ def write_batch(frame: DataFrame, path: str, batch_id: int, fmt: str = "parquet"
     frame.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def publish_snapshot(document: DataFrame, path: str, batch_id: int) -> None:
-    """Keep the document in the history of its batch, then make it the latest one."""
-    root = path.rstrip("/")
-    as_json = {"ignoreNullFields": "false"}
-    document.coalesce(1).write.mode("overwrite").options(**as_json).json(f"{root}/history/batch_id={batch_id}")
-    kept = document.sparkSession.read.schema(document.schema).json(f"{root}/history/batch_id={batch_id}")
-    kept.coalesce(1).write.mode("overwrite").options(**as_json).json(f"{root}/latest")
+def publish_snapshots(documents: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Keep the documents in the history of their batch and make the newest one the latest.
+
+    Returns the stored documents, so what follows does not compute them again.
+    """
+    spark, root = documents.sparkSession, path.rstrip("/")
+    history = f"{root}/history/batch_id={batch_id}"
+    documents.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(history)
+    stored = spark.read.schema(documents.schema).json(history)
+    newest = stored.orderBy(F.desc("window_end")).limit(1)
+    newest.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/latest")
+    return stored
 
 
 def append_metrics(samples: DataFrame, path: str, batch_id: int) -> None:

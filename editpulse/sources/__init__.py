@@ -3,11 +3,11 @@
 from .landing import read_landing, split_landing
 from .streams import read_stream, with_arrival_time
 from .tables import (
-    empty_baseline, read_baseline, read_event_json, read_events, read_parts, read_snapshot, union_parts,
+    empty_baseline, read_baseline, read_event_json, read_events, read_parts, read_snapshot, read_snapshots, union_parts,
 )
 
 __all__ = [
     "read_landing", "split_landing",
     "read_stream", "with_arrival_time",
-    "empty_baseline", "read_baseline", "read_event_json", "read_events", "read_parts", "read_snapshot", "union_parts",
+    "empty_baseline", "read_baseline", "read_event_json", "read_events", "read_parts", "read_snapshot", "read_snapshots", "union_parts",
 ]

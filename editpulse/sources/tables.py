@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import parse_timestamp
-from ..schemas import BASELINE, EVENT, SNAPSHOT, WIRE_EVENT
+from ..schemas import BASELINE, EVENT, SNAPSHOT, WINDOW_SNAPSHOT, WIRE_EVENT
 
 # Error conditions that mean "nothing is stored there yet".
 _NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -78,6 +78,11 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All published documents, one per window."""
+    return spark.read.schema(WINDOW_SNAPSHOT).json(f"{path.rstrip('/')}/history").drop("batch_id")
+
+
 def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)

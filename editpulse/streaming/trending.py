@@ -17,7 +17,8 @@ from ..config import DEFAULTS, Settings
 from ..functions import to_iso
 from ..operators import live, rates, trend
 from ..operators.filters import with_title
-from ..sinks import append_metrics, publish_snapshot, write_batch
+from ..operators.windows import seconds_interval
+from ..sinks import append_metrics, publish_snapshots
 from .ingest import trigger
 
 
@@ -43,6 +44,20 @@ def sliding_count_stream(
     )
 
 
+def _empty_document(batch: DataFrame, settings: Settings, policy: trend.TrendPolicy) -> DataFrame:
+    """Zeros and no articles, for a moment in which no window has finished."""
+    now = F.date_trunc("second", F.current_timestamp())
+    counts = batch.limit(0).drop("window_start", "window_end")
+    ranked = trend.trending(counts, None, settings.window_seconds, policy, settings)
+    document = live.snapshot(counts, ranked, settings.window_seconds, to_iso(F.current_timestamp()))
+    return document.select(
+        "generated_at",
+        (now - seconds_interval(settings.window_seconds)).alias("window_start"),
+        now.alias("window_end"),
+        *document.columns[1:],
+    )
+
+
 def trending_stream(
     events: DataFrame,
     baseline: DataFrame | Callable[[], DataFrame] | None,
@@ -53,46 +68,42 @@ def trending_stream(
     seconds: float | None = DEFAULTS.trigger_seconds,
     emit_empty: bool = False,
 ) -> StreamingQuery:
-    """Rank every finished window and publish the newest one as the snapshot document.
+    """Rank every finished window and publish its snapshot document.
 
-    Below ``output``: ``counts`` and ``ranked`` (all windows, by batch),
-    ``history`` and ``latest`` (documents) and ``metrics``. A baseline given as
-    a callable is read again for each micro-batch. Batches without a finished
-    window publish nothing unless ``emit_empty``.
+    Below ``output``: ``history`` (one document per window, by batch), ``latest``
+    (the newest document) and ``metrics``. A baseline given as a callable is read
+    again for each micro-batch. A batch without a finished window publishes
+    nothing, or with ``emit_empty`` one document with zeros.
     """
     root = output.rstrip("/")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         started = time.perf_counter()
-        if batch.isEmpty() and not emit_empty:
-            return
         spark = batch.sparkSession
-        write_batch(batch, f"{root}/counts", batch_id)
-        counts = spark.read.schema(batch.schema).parquet(f"{root}/counts/batch_id={batch_id}")
-        known = baseline() if callable(baseline) else baseline
-        ranked = trend.trending(
-            counts, known, settings.window_seconds, policy, settings, per=["window_start", "window_end"]
-        )
-        write_batch(ranked, f"{root}/ranked", batch_id)
-        best = spark.read.schema(ranked.schema).parquet(f"{root}/ranked/batch_id={batch_id}")
-
-        newest = counts.agg(F.max("window_end")).scalar()
-        document = live.snapshot(
-            counts.where(F.col("window_end") == newest),
-            best.where(F.col("window_end") == newest),
-            settings.window_seconds,
-            to_iso(F.current_timestamp()),
-        )
-        publish_snapshot(document, root, batch_id)
-        published = spark.read.schema(document.schema).json(f"{root}/history/batch_id={batch_id}")
-        samples = rates.snapshot_metrics(published, F.current_timestamp(), settings.metric_namespace)
-        latency = rates.metric_rows(
-            published.limit(1),
-            {"SpeedLayerProcessingLatencyMs": (F.lit((time.perf_counter() - started) * 1000.0), "Milliseconds")},
-            F.current_timestamp(),
-            settings.metric_namespace,
-        )
-        append_metrics(samples.unionByName(latency), f"{root}/metrics", batch_id)
+        counts = batch.persist()
+        try:
+            # The one run of the stateful plan; what follows reads its result.
+            if counts.count() == 0:
+                if not emit_empty:
+                    return
+                documents = _empty_document(batch, settings, policy)
+            else:
+                known = baseline() if callable(baseline) else baseline
+                per = ["window_start", "window_end"]
+                ranked = trend.trending(counts, known, settings.window_seconds, policy, settings, per=per)
+                documents = live.snapshots(counts, ranked, settings.window_seconds, to_iso(F.current_timestamp()), per)
+            stored = publish_snapshots(documents, root, batch_id)
+            latency = (time.perf_counter() - started) * 1000.0
+            samples = rates.snapshot_metrics(stored, F.col("window_end"), settings.metric_namespace)
+            timing = rates.metric_rows(
+                spark.range(1),
+                {"SpeedLayerProcessingLatencyMs": (F.lit(latency), "Milliseconds")},
+                F.current_timestamp(),
+                settings.metric_namespace,
+            )
+            append_metrics(samples.unionByName(timing), f"{root}/metrics", batch_id)
+        finally:
+            counts.unpersist()
 
     counts = sliding_count_stream(events, settings)
     writer = (

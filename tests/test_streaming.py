@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from editpulse.config import DEFAULTS
 from editpulse.jobs import ingest, speed
-from editpulse.operators import display, windows
+from editpulse.operators import display, live, windows
 from editpulse.plans import speed_layer
 from editpulse.schemas import EVENT
-from editpulse.sources import read_snapshot, read_stream, with_arrival_time
+from editpulse.sources import read_snapshot, read_snapshots, read_stream, with_arrival_time
 from editpulse.streaming import (
     ingest_stream, metrics_stream, progress_metrics, sliding_count_stream, store_stream, trending_stream,
 )
@@ -90,7 +90,7 @@ def test_trending_snapshots(spark, tmp_path):
 
     run()
     replay = speed_layer.trending_replay(edits(spark, POINTS), known, 300, 60)
-    ranked = spark.read.parquet(f"{out}/ranked")
+    ranked = live.ranked_rows(read_snapshots(spark, out))
     columns = ("window_start", "title", "recent_edits", "trend_score", "rank")
     order = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert order(ranked) == order(replay)
@@ -109,7 +109,21 @@ def test_trending_snapshots(spark, tmp_path):
     documents = spark.read.json(f"{out}/history").count()
     run()
     assert spark.read.json(f"{out}/history").count() == documents
-    assert order(spark.read.parquet(f"{out}/ranked")) == order(replay)
+    assert order(live.ranked_rows(read_snapshots(spark, out))) == order(replay)
+
+
+def test_no_window_finished_yet(spark, tmp_path):
+    source = add(spark, tmp_path, [(0, "a")], "a")
+
+    def run(name, emit_empty):
+        out = str(tmp_path / name)
+        stream = read_stream(spark, source, EVENT)
+        trending_stream(stream, None, out, f"{out}-cp", SETTINGS, seconds=None, emit_empty=emit_empty).awaitTermination()
+        return read_snapshot(spark, out).collect()
+
+    assert run("quiet", False) == []
+    row, = run("loud", True)
+    assert (row.total_events_in_window, row.distinct_articles_in_window, row.trending_articles) == (0, 0, [])
 
 
 def test_store_survives_a_restart(spark, tmp_path):
@@ -201,7 +215,7 @@ def test_jobs_end_to_end(spark, tmp_path):
         "--input", str(tmp_path / "lines"), "--output", str(tmp_path / "s"), "--baseline", str(tmp_path / "none"),
         "--window-seconds", "300", "--slide-seconds", "60", "--until-done",
     ])
-    ranked = spark.read.parquet(str(tmp_path / "s/ranked")).where("window_start = timestamp'2024-03-01 12:00:00'")
+    ranked = live.ranked_rows(read_snapshots(spark, str(tmp_path / "s"))).where("window_start = timestamp'2024-03-01 12:00:00'")
     assert rows(ranked, "title", "recent_edits", "current_edits_per_hour") == [("t0", 4, 48.0), ("t1", 4, 48.0), ("t2", 4, 48.0)]
 
 
