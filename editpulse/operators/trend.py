@@ -19,14 +19,14 @@ from .filters import positive_baseline
 class TrendPolicy:
     """How counts become ranked rows.
 
-    ``prefilter`` runs before the baseline is joined, so articles that cannot
+    ``least_edits`` applies before the baseline is joined, so articles that cannot
     qualify never reach the join; ``score`` adds the output columns; ``order``
     gives the ranking keys, to which the title is always added last.
     """
 
     name: str
     uses_baseline: bool
-    prefilter: Callable[[Settings], Column] | None
+    least_edits: Callable[[Settings], int]
     score: Callable[[DataFrame, int, Settings], DataFrame]
     order: Callable[[], list[Column]]
 
@@ -78,7 +78,7 @@ def _carried(df: DataFrame) -> list[str]:
 RATE = TrendPolicy(
     name="rate",
     uses_baseline=True,
-    prefilter=lambda s: F.col("recent_edits") >= s.min_edits,
+    least_edits=lambda s: s.min_edits,
     score=_rate_rows,
     order=lambda: [
         F.desc("baseline_available"),
@@ -91,7 +91,7 @@ RATE = TrendPolicy(
 RATE_ALL = TrendPolicy(
     name="rate_all",
     uses_baseline=True,
-    prefilter=None,
+    least_edits=lambda s: 1,
     score=_rate_rows,
     order=lambda: [
         F.desc("baseline_available"),
@@ -104,7 +104,7 @@ RATE_ALL = TrendPolicy(
 COUNT = TrendPolicy(
     name="count",
     uses_baseline=False,
-    prefilter=lambda s: F.col("recent_edits") > s.min_edits,
+    least_edits=lambda s: s.min_edits + 1,
     score=_count_rows,
     order=lambda: [F.desc("trend_score")],
 )
@@ -114,7 +114,7 @@ COUNT = TrendPolicy(
 RATIO = TrendPolicy(
     name="ratio",
     uses_baseline=True,
-    prefilter=None,
+    least_edits=lambda s: 1,
     score=_ratio_rows,
     order=lambda: [F.desc("trend_score")],
 )
@@ -135,7 +135,7 @@ def score(
     join gets no broadcast hint: the baseline grows with the number of articles,
     so its size decides at run time.
     """
-    candidates = counts.where(policy.prefilter(settings)) if policy.prefilter else counts
+    candidates = counts.where(F.col("recent_edits") >= policy.least_edits(settings))
     if policy.uses_baseline:
         if baseline is None:
             candidates = candidates.withColumn("baseline_edits_per_hour", F.lit(None).cast("double"))

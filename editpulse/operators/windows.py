@@ -70,25 +70,53 @@ def panes(events: DataFrame, slide_seconds: int = DEFAULTS.slide_seconds, ts: st
     return events.groupBy(pane.alias("pane"), "title").agg(F.count("*").alias("edits"))
 
 
+def _busy_panes(counted: DataFrame, window_seconds: int, at_least: int) -> DataFrame:
+    """Panes that may lie in a window with ``at_least`` edits.
+
+    A window touches at most two neighbouring blocks of its own length, so it
+    needs a pair of blocks that holds enough edits together. Most titles are
+    edited too rarely to have one.
+    """
+    width = window_seconds * 1_000_000
+    begin = F.unix_micros(F.col("pane.start").cast("timestamp"))
+    placed = counted.withColumn("block", ((begin - F.pmod(begin, F.lit(width))) / F.lit(width)).cast("long"))
+    busy = (
+        placed.groupBy("title", "block")
+        .agg(F.sum("edits").alias("n"))
+        .select("title", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("pair"), "n")
+        .groupBy("title", "pair")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= at_least)
+        .select("title", F.explode(F.array(F.col("pair"), F.col("pair") + 1)).alias("block"))
+    )
+    return placed.join(busy, ["title", "block"], "left_semi").drop("block")
+
+
 def sliding_counts(
     events: DataFrame,
     window_seconds: int = DEFAULTS.window_seconds,
     slide_seconds: int = DEFAULTS.slide_seconds,
     ts: str = "timestamp",
+    at_least: int = 1,
 ) -> DataFrame:
     """Edits per title and sliding window ``[window_start, window_end)``.
 
     Events are counted into panes first, so the copying of a row into each of
     its ``window / slide`` windows happens to pane counts and not to events.
+    With ``at_least`` only windows with that many edits are returned, and panes
+    that no such window can contain are not copied at all.
     """
     if window_seconds % slide_seconds:
         raise ValueError("the window must be a multiple of the slide")
     counted = panes(events, slide_seconds, ts)
+    if at_least > 1:
+        counted = _busy_panes(counted, window_seconds, at_least)
     windows = F.window(F.col("pane.start"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
     return (
         counted.select(windows.alias("w"), "title", "edits")
         .groupBy("w", "title")
         .agg(F.sum("edits").alias("recent_edits"))
+        .where(F.col("recent_edits") >= at_least)
         .select(
             F.col("w.start").alias("window_start"),
             F.col("w.end").alias("window_end"),

@@ -57,5 +57,7 @@ def trending_replay(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """The ranking of every sliding window of a stored history."""
-    counts = windows.sliding_counts(with_title(events), window_seconds, slide_seconds)
+    counts = windows.sliding_counts(
+        with_title(events), window_seconds, slide_seconds, at_least=policy.least_edits(settings)
+    )
     return trend.trending(counts, baseline, window_seconds, policy, settings, per=["window_start", "window_end"])

@@ -15,6 +15,8 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # HotSpot does not compile methods beyond 8000 bytes; split generated code instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Landing objects are single rows of up to the delivery size; bound a batch by bytes too.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -33,7 +33,8 @@ _BATCH_ROWS = 4096
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """One row (path, body) per landing object below a folder; blank objects are left out."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    # The argument, not the option: the argument's default would override the option.
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     bodies = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     return bodies.where(F.col("body").rlike(r"\S"))
 

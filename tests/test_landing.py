@@ -17,6 +17,7 @@ def put(folder, name, text):
 def test_back_to_back_values(spark, tmp_path):
     put(tmp_path, "one", json.dumps(A) + json.dumps(B, ensure_ascii=False))
     put(tmp_path, "two", f"\n {json.dumps(B)} \t\n{json.dumps(A)}\n")
+    put(tmp_path, "lines", json.dumps(B, indent=2) + "\n" + json.dumps(A, indent=1))
     put(tmp_path, "blank", " \n ")
     put(tmp_path, "cut", json.dumps(A) + json.dumps(B)[:-3])
     split = split_landing(read_landing(spark, str(tmp_path))).collect()
@@ -24,8 +25,9 @@ def test_back_to_back_values(spark, tmp_path):
     for r in sorted(split, key=lambda r: (r.path, r.position)):
         by_file.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
     assert {k: [json.loads(r.record) for r in v if r.error is None] for k, v in by_file.items()} == {
-        "one": [A, B], "two": [B, A], "cut": [A],
+        "one": [A, B], "two": [B, A], "lines": [B, A], "cut": [A],
     }
+    assert {k: [r.position for r in v] for k, v in by_file.items()} == dict.fromkeys(by_file, [0, 1])
     broken = [r for r in split if r.error]
     assert [(r.path.rsplit("/", 1)[1], r.position, r.record) for r in broken] == [("cut", 1, json.dumps(B)[:-3])]
 

@@ -68,6 +68,19 @@ def test_sliding_counts_against_brute_force(spark):
     assert all((r.window_end - r.window_start).total_seconds() == 300 for r in found)
 
 
+@pytest.mark.parametrize("at_least", [2, 3, 6])
+def test_busy_windows_only(spark, at_least):
+    rng = random.Random(at_least)
+    points = [(rng.randrange(0, 6000), f"t{rng.randrange(25)}") for _ in range(250)]
+    points += [(299, "edge"), (300, "edge"), (301, "edge"), (599, "edge")]
+    points += [(700 + 50 * i, "busy") for i in range(6)]
+    events = edits(spark, points)
+    wanted = windows.sliding_counts(events, 300, 10).where(F.col("recent_edits") >= at_least)
+    found = windows.sliding_counts(events, 300, 10, at_least=at_least)
+    columns = ("window_start", "title", "recent_edits")
+    assert rows(found, *columns) == rows(wanted, *columns) != []
+
+
 def test_window_must_be_a_multiple_of_the_slide(spark):
     with pytest.raises(ValueError):
         windows.sliding_counts(edits(spark, []), 300, 7)
