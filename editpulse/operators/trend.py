@@ -135,7 +135,8 @@ def score(
     join gets no broadcast hint: the baseline grows with the number of articles,
     so its size decides at run time.
     """
-    candidates = counts.where(F.col("recent_edits") >= policy.least_edits(settings))
+    least = policy.least_edits(settings)
+    candidates = counts.where(F.col("recent_edits") >= least) if least > 1 else counts
     if policy.uses_baseline:
         if baseline is None:
             candidates = candidates.withColumn("baseline_edits_per_hour", F.lit(None).cast("double"))
