@@ -252,6 +252,12 @@ def ingest_metric_samples(spark, sf_dir):
     return plain(rates.ingest_metrics(rates.ingest_rate(edits(spark, sf_dir))))
 
 
+def snapshot_metric_samples(spark, sf_dir):
+    events = edits(spark, sf_dir)
+    document = speed_layer.snapshot_now(events, past_baseline(events), DAY, generated_at=F.lit(""))
+    return plain(rates.snapshot_metrics(document, F.lit("2024-01-31 00:00:00").cast("timestamp")))
+
+
 def run_speedup(spark, sf_dir):
     log = spark.read.parquet(f"{sf_dir}/events.parquet")
     runs = log.groupBy((F.col("user_id") % 8 + 1).alias("executors")).agg(
@@ -267,6 +273,15 @@ def display_trending(spark, sf_dir):
     return display.display_trending(trending_rate_all(spark, sf_dir).drop("rank"))
 
 
+def trend_bars(spark, sf_dir):
+    return display.bars(trending_ratio(spark, sf_dir), "trend_score").select("title", "trend_score")
+
+
+def number_coercion(spark, sf_dir):
+    texts = edits(spark, sf_dir).select("event_id", F.when(F.col("bot"), F.col("title")).otherwise(F.substring_index("title", "_", -1)).alias("text"))
+    return texts.select("event_id", display.number(F.col("text")).alias("number"))
+
+
 def display_baseline(spark, sf_dir):
     return display.display_baseline(history.article_baseline(edits(spark, sf_dir)))
 
@@ -493,7 +508,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_rate_10s": ingest_rate_10s,
         "ingest_rate_5m_rollup": ingest_rate_rollup,
         "ingest_metric_samples": ingest_metric_samples,
+        "snapshot_metric_samples": snapshot_metric_samples,
         "run_speedup": run_speedup,
+        "trend_bars": trend_bars,
+        "number_coercion": number_coercion,
+        "event_rows": on_edits(display.event_row),
         "display_trending": display_trending,
         "display_baseline": display_baseline,
         "display_top_articles": display_top_articles,

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    """Fixed values, but for the watermark delay: the defaults users of the pipeline rely on."""
+
     # speed layer
     window_seconds: int = 300
     view_window_seconds: int = 600

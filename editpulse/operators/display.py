@@ -11,10 +11,14 @@ from ..functions import fill_text, null_if_empty, to_iso
 from ..schemas import EVENT, TRENDING_ROW
 from .filters import drop_if_any_null
 
+# The columns of the event views and the texts of the combined view.
 RECENT_COLUMNS = ("timestamp", "title", "user", "anonymous", "bot", "comment", "namespace", "wiki", "server_name")
 STREAM_COLUMNS = ("timestamp", "title", "user", "anonymous", "comment")
 
-# Longest key the bus takes.
+NO_BASELINE_TEXT = "No historical data"
+NO_SCORE_TEXT = "N/A"
+
+# Fixed value: the longest key the bus takes.
 MAX_KEY_LENGTH = 256
 
 
@@ -72,8 +76,8 @@ def display_trending(rows: DataFrame) -> DataFrame:
         F.col("title").alias("Article"),
         F.col("recent_edits").alias("Recent Edits"),
         F.round(number(F.col("current_edits_per_hour")), 1).alias("Current Edits/Hour"),
-        fill_text(F.col("baseline_edits_per_hour"), "%.2f", "No historical data").alias("Historical Baseline/Hour"),
-        fill_text(F.col("trend_score"), "%.2f×", "N/A").alias("Trend vs Baseline"),
+        fill_text(F.col("baseline_edits_per_hour"), "%.2f", NO_BASELINE_TEXT).alias("Historical Baseline/Hour"),
+        fill_text(F.col("trend_score"), "%.2f×", NO_SCORE_TEXT).alias("Trend vs Baseline"),
     )
 
 

@@ -53,12 +53,20 @@ def metric_rows(frame: DataFrame, metrics: dict[str, tuple[Column, str]], ts: Co
     return frame.select(F.inline(F.array(*samples)))
 
 
+# The metric names and units that monitoring expects.
+EVENTS_PER_SECOND = ("IngestionEventsPerSecond", "Count/Second")
+EVENTS_PUBLISHED = ("IngestionEventsPublished", "Count")
+WINDOW_EVENTS = ("SpeedLayerWindowEvents", "Count")
+TRENDING_COUNT = ("SpeedLayerTrendingArticleCount", "Count")
+PROCESSING_LATENCY = ("SpeedLayerProcessingLatencyMs", "Milliseconds")
+
+
 def ingest_metrics(rates: DataFrame, namespace: str = DEFAULTS.metric_namespace) -> DataFrame:
     return metric_rows(
         rates,
         {
-            "IngestionEventsPerSecond": (F.col("events_per_second"), "Count/Second"),
-            "IngestionEventsPublished": (F.col("events_published"), "Count"),
+            EVENTS_PER_SECOND[0]: (F.col("events_per_second"), EVENTS_PER_SECOND[1]),
+            EVENTS_PUBLISHED[0]: (F.col("events_published"), EVENTS_PUBLISHED[1]),
         },
         F.col("interval_start"),
         namespace,
@@ -69,8 +77,8 @@ def snapshot_metrics(snapshots: DataFrame, ts: Column, namespace: str = DEFAULTS
     return metric_rows(
         snapshots,
         {
-            "SpeedLayerWindowEvents": (F.col("total_events_in_window"), "Count"),
-            "SpeedLayerTrendingArticleCount": (F.size("trending_articles"), "Count"),
+            WINDOW_EVENTS[0]: (F.col("total_events_in_window"), WINDOW_EVENTS[1]),
+            TRENDING_COUNT[0]: (F.size("trending_articles"), TRENDING_COUNT[1]),
         },
         ts,
         namespace,

@@ -13,6 +13,9 @@ from ..config import DEFAULTS
 # The column the event store is partitioned by.
 DATE_PARTITION = "event_date"
 
+# From this many windows per pane on, finding the panes worth copying costs less than copying all.
+MANY_COPIES = 10
+
 
 def seconds_interval(seconds: int) -> Column:
     return F.make_dt_interval(secs=F.lit(seconds))
@@ -57,7 +60,9 @@ def before_trailing(
     ts: str = "timestamp",
 ) -> DataFrame:
     """The history a trailing window leaves out: ``ts < anchor - seconds``."""
-    return events.where(F.col(ts) < window_start(events, seconds, anchor, ts))
+    start = window_start(events, seconds, anchor, ts)
+    kept = events.where(F.col(ts) < start)
+    return kept.where(F.col(DATE_PARTITION) <= F.to_date(start)) if DATE_PARTITION in events.columns else kept
 
 
 def title_counts(events: DataFrame) -> DataFrame:
@@ -81,15 +86,16 @@ def _busy_panes(counted: DataFrame, window_seconds: int, at_least: int) -> DataF
     begin = F.unix_micros(F.col("pane.start").cast("timestamp"))
     placed = counted.withColumn("block", ((begin - F.pmod(begin, F.lit(width))) / F.lit(width)).cast("long"))
     busy = (
-        placed.groupBy("title", "block")
-        .agg(F.sum("edits").alias("n"))
-        .select("title", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("pair"), "n")
+        placed.select("title", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("pair"), "edits")
         .groupBy("title", "pair")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("edits").alias("n"))
         .where(F.col("n") >= at_least)
-        .select("title", F.explode(F.array(F.col("pair"), F.col("pair") + 1)).alias("block"))
+        .select(F.col("title").alias("_title"), F.explode(F.array(F.col("pair"), F.col("pair") + 1)).alias("_block"))
+        .distinct()
     )
-    return placed.join(busy, ["title", "block"], "left_semi").drop("block")
+    # An inner join, since a semi join would be moved below the counting, to single events.
+    same = F.col("title").eqNullSafe(F.col("_title")) & (F.col("block") == F.col("_block"))
+    return placed.join(busy, same).drop("block", "_title", "_block")
 
 
 def sliding_counts(
@@ -103,13 +109,13 @@ def sliding_counts(
 
     Events are counted into panes first, so the copying of a row into each of
     its ``window / slide`` windows happens to pane counts and not to events.
-    With ``at_least`` only windows with that many edits are returned, and panes
-    that no such window can contain are not copied at all.
+    With ``at_least`` only windows with that many edits are returned; where a pane
+    has many windows, panes that no such window can contain are not copied at all.
     """
     if window_seconds % slide_seconds:
         raise ValueError("the window must be a multiple of the slide")
     counted = panes(events, slide_seconds, ts)
-    if at_least > 1:
+    if at_least > 1 and window_seconds // slide_seconds >= MANY_COPIES:
         counted = _busy_panes(counted, window_seconds, at_least)
     windows = F.window(F.col("pane.start"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
     return (

@@ -62,7 +62,7 @@ METRIC = T.StructType([
     T.StructField("ts", T.TimestampType()),
 ])
 
-# Names of the tables the batch layer writes.
+# The names of the tables the batch layer writes.
 BATCH_TABLES = (
     "top_articles",
     "bot_vs_human",

@@ -97,7 +97,7 @@ def trending_stream(
             samples = rates.snapshot_metrics(stored, F.col("window_end"), settings.metric_namespace)
             timing = rates.metric_rows(
                 spark.range(1),
-                {"SpeedLayerProcessingLatencyMs": (F.lit(latency), "Milliseconds")},
+                {rates.PROCESSING_LATENCY[0]: (F.lit(latency), rates.PROCESSING_LATENCY[1])},
                 F.current_timestamp(),
                 settings.metric_namespace,
             )

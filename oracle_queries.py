@@ -279,6 +279,16 @@ ORACLE: dict[str, str] = {
         RATES,
     ),
     "ingest_metric_samples": _all(METRIC_ROWS, RATES),
+    "snapshot_metric_samples": _all(
+        """SELECT 'EditPulse' AS namespace, 'SpeedLayerWindowEvents' AS metric_name, sum(recent_edits)::DOUBLE AS value,
+ 'Count' AS unit, TIMESTAMP '2024-01-31' AS ts FROM counts
+ UNION ALL SELECT 'EditPulse', 'SpeedLayerTrendingArticleCount',
+ least(count(*) FILTER (recent_edits >= 3), 10)::DOUBLE, 'Count', TIMESTAMP '2024-01-31' FROM counts""",
+        RECENT,
+    ),
+    "trend_bars": _all("SELECT title, trend_score FROM ranked WHERE rank <= 10 ORDER BY trend_score, title", RECENT, RATIO),
+    "number_coercion": _all("SELECT event_id, CASE WHEN bot THEN NULL ELSE k::DOUBLE END AS number FROM edits"),
+    "event_rows": _all(f"SELECT {EVENT_COLUMNS} FROM edits"),
     "run_speedup": """
 WITH runs AS (SELECT user_id % 8 + 1 AS executors, sum(CAST(trunc(value * 100) AS BIGINT))::DOUBLE AS runtime_seconds
               FROM events GROUP BY 1)
