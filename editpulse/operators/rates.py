@@ -23,11 +23,23 @@ def ingest_rate(
     )
 
 
-def rate_rollup(rates: DataFrame, minutes: int = DEFAULTS.bucket_minutes) -> DataFrame:
-    """Average and maximum rate per N minutes."""
+def rate_rollup(
+    rates: DataFrame,
+    minutes: int = DEFAULTS.bucket_minutes,
+    interval_seconds: int = DEFAULTS.metric_interval_seconds,
+) -> DataFrame:
+    """Average and maximum rate per N minutes.
+
+    The average is taken as whole events over whole seconds, so it does not
+    depend on the order in which rates would be added up.
+    """
+    seconds = F.count("*") * F.lit(interval_seconds)
     return (
         rates.groupBy(F.window("interval_start", f"{minutes} minutes").alias("w"))
-        .agg(F.avg("events_per_second").alias("average_eps"), F.max("events_per_second").alias("maximum_eps"))
+        .agg(
+            (F.sum("events_published").cast("double") / seconds).alias("average_eps"),
+            F.max("events_per_second").alias("maximum_eps"),
+        )
         .select(F.col("w.start").alias("bucket"), "average_eps", "maximum_eps")
     )
 

@@ -275,7 +275,7 @@ ORACLE: dict[str, str] = {
     "ingest_rate_10s": _all("SELECT * FROM rates", RATES),
     "ingest_rate_5m_rollup": _all(
         """SELECT time_bucket(INTERVAL 5 MINUTE, interval_start, TIMESTAMP '1970-01-01') AS bucket,
- avg(events_per_second) AS average_eps, max(events_per_second) AS maximum_eps FROM rates GROUP BY 1""",
+ sum(events_published)::DOUBLE / (count(*) * 10) AS average_eps, max(events_per_second) AS maximum_eps FROM rates GROUP BY 1""",
         RATES,
     ),
     "ingest_metric_samples": _all(METRIC_ROWS, RATES),
