@@ -10,7 +10,7 @@ from editpulse.streaming.ingest import ingest_batch
 GOOD = {
     "timestamp": 1709294400, "title": "Lake Vostok", "user": "Orla", "anonymous": False,
     "bot": False, "comment": "spelling", "type": "edit", "namespace": 0, "wiki": "enwiki",
-    "server_name": "en.wikipedia.org",
+    "server_name": "en.example.org",
 }
 MOMENT = datetime(2024, 3, 1, 12, 0, tzinfo=timezone.utc)
 
@@ -95,9 +95,9 @@ KEPT = [
     (changed(namespace=True), "namespace", 1),
     (without("server_name"), "server_name", ""),
     (changed(meta={"domain": "a.example"}), "server_name", "a.example"),
-    (changed(meta={"id": 1}), "server_name", "en.wikipedia.org"),
-    (changed(meta=None), "server_name", "en.wikipedia.org"),
-    (changed(meta=0), "server_name", "en.wikipedia.org"),
+    (changed(meta={"id": 1}), "server_name", "en.example.org"),
+    (changed(meta=None), "server_name", "en.example.org"),
+    (changed(meta=0), "server_name", "en.example.org"),
     (changed(bot="false"), "bot", True),
     (changed(bot=""), "bot", False),
     (changed(bot=0), "bot", False),
