@@ -457,7 +457,23 @@ def on_edits(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     return lambda spark, sf_dir: plain(operator(edits(spark, sf_dir)))
 
 
+def corpus_registry():
+    """The queries of the ``llm`` subpackage, or None where that is not installed."""
+    try:
+        from editpulse.llm import registry
+    except ModuleNotFoundError as error:
+        if (error.name or "").split(".")[0] in ("editpulse", "corpus_pipeline"):
+            return None
+        raise
+    return registry
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    corpus = corpus_registry()
+    return edit_queries() | (corpus.QUERIES if corpus else {})
+
+
+def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "events_total_and_distinct": on_edits(history.totals),
         "top_articles": on_edits(history.top_articles),
@@ -545,4 +561,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
 
-    return ORACLE
+    corpus = corpus_registry()
+    return ORACLE | (corpus.SQL if corpus else {})
