@@ -43,46 +43,108 @@ def specials(path: str) -> re.Pattern:
     return re.compile("|".join(found) or r"(?!)")
 
 
+#: Letters that belong to \p{L} in every edition, have no marks to compose with, and whose lower case is one letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A word of them, with ASCII punctuation behind it: two places where any of the patterns must cut.
+PLAIN = re.compile(rf"( ?[{LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+#: Plain words encoded at once.
+AT_ONCE = 20_000
+
+
 class Remembered(dict):
-    """piece -> what ``make`` gives for its ids; forgets all when full."""
+    """piece -> what ``make`` gives for its ids, and ``cut`` for a stretch of many; forgets all when full.
+
+    ``edge`` tells of ids whether a plain word ends (``ends``) or begins there, so
+    many words can be encoded as one text and told apart again.
+    """
+
+    def __init__(self, path: str, make, cut, join, lower: bool, edge: np.ndarray, ends: bool):
+        self.path, self.make, self.cut, self.join, self.lower, self.edge, self.ends = path, make, cut, join, lower, edge, ends
+        self.plain: dict[str, object] = {}
 
-    def __init__(self, path: str, make):
-        self.path, self.make = path, make
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer(self.path).encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def learn_plain(self, words: list[str]) -> None:
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            ids = np.array(self.encode([(" " if self.ends else "").join(some)])[0], dtype="<u4")
+            bounds = np.flatnonzero(self.edge[ids])
+            bounds = [0, *(bounds + 1).tolist()] if self.ends else [*bounds.tolist(), len(ids)]
+            if len(bounds) != len(some) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
+                raise ValueError("words and their tokens don't correspond")
+            self.plain.update(zip(some, self.cut(ids, bounds)))
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
+        new = list(pieces - self.keys())
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = list(pieces)
-        for piece, encoding in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)):
-            self[piece] = self.make(encoding.ids)
+        if len(self.plain) + len(new) > REMEMBERED:
+            self.plain.clear()
+        matches, other = [], []
+        for piece in new:
+            m = PLAIN.fullmatch(piece)
+            if m and (m[1][0] == " ") != self.ends:
+                matches.append((piece, m[1].lower() if self.lower else m[1], m[2]))
+            else:
+                other.append(piece)
+        self.learn_plain(list({word for _, word, _ in matches if word not in self.plain}))
+        tails = [t for t in {tail for _, _, tail in matches} if t and t not in self.plain]
+        self.plain.update(zip(tails, map(self.make, self.encode(tails))))
+        for piece, word, tail in matches:
+            self[piece] = self.join((self.plain[word], self.plain[tail])) if tail else self.plain[word]
+        self.update(zip(other, map(self.make, self.encode(other))))
+
+
+def as_bytes(ids) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+def cut_bytes(ids: np.ndarray, bounds: list[int]) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
+
+
+def cut_counts(ids: np.ndarray, bounds: list[int]) -> list[int]:
+    return [b - a for a, b in zip(bounds, bounds[1:])]
+
+
+def edges(path: str, test) -> np.ndarray:
+    """For each id whether its token passes the test."""
+    vocabulary = tokenizer(path).get_vocab()
+    found = np.zeros(max(vocabulary.values()) + 1, bool)
+    found[[i for token, i in vocabulary.items() if test(token)]] = True
+    return found
+
+
+@lru_cache(maxsize=4)
+def remembered_ids(path: str) -> Remembered:
+    return Remembered(path, as_bytes, cut_bytes, b"".join, True, edges(path, lambda t: t.endswith("</w>")), True)
 
 
 @lru_cache(maxsize=4)
-def remembered(path: str, make) -> Remembered:
-    return Remembered(path, make)
+def remembered_counts(path: str) -> Remembered:
+    # In byte-level vocabularies this letter stands for the space.
+    return Remembered(path, len, cut_counts, sum, False, edges(path, lambda t: t.startswith("Ġ")), False)
 
 
-def by_piece(path: str, texts: list[str], split, join, make) -> list:
+def by_piece(known: Remembered, texts: list[str], split) -> list:
     """For each text, its pieces' values joined. ``split`` gives None for a text to be encoded whole."""
-    known, out = remembered(path, make), [None] * len(texts)
+    path, out = known.path, [None] * len(texts)
     group, size = [], 0
 
     def flush():
         nonlocal group, size
-        known.learn({p for _, pieces in group for p in pieces})
+        known.learn(set().union(*(pieces for _, pieces in group)))
         for i, pieces in group:
-            out[i] = join(map(known.__getitem__, pieces))
+            out[i] = known.join(map(known.__getitem__, pieces))
         group, size = [], 0
 
     for i, text in enumerate(texts):
         pieces = None if specials(path).search(text) else split(text)
         if pieces is None:
-            out[i] = make(tokenizer(path).encode(text, add_special_tokens=False).ids)
+            out[i] = known.make(known.encode([text])[0])
             continue
         group.append((i, pieces))
         size += len(pieces)
@@ -94,7 +156,7 @@ def by_piece(path: str, texts: list[str], split, join, make) -> list:
 
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    return by_piece(path, texts, WORD.findall, b"".join, as_bytes)
+    return by_piece(remembered_ids(path), texts, WORD.findall)
 
 
 def spans(text: str) -> list[str] | None:
@@ -103,4 +165,4 @@ def spans(text: str) -> list[str] | None:
 
 def span_counts(path: str, texts: list[str]) -> list[int]:
     """The number of tokens of each text."""
-    return by_piece(path, texts, spans, sum, len)
+    return by_piece(remembered_counts(path), texts, spans)
