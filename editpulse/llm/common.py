@@ -38,6 +38,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = ship(configure(spark))
+        # Texts grow several times over in a worker, so it gets few at a time.
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
         self.root = run_folder(spark, name)
 
     def table(self, frame: DataFrame, name: str) -> DataFrame:

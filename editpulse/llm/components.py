@@ -1,11 +1,12 @@
 """Connected components of a graph too large for one machine.
 
-Edges are contracted where they are: each task joins what its edges connect and
-leaves one edge per node, to the smallest node it knows. Then every node's edges
-meet in one place, the smallest neighbour stays its parent, and the others are
-linked to that parent. When each node has one parent, parents are followed to the
-root by doubling. Every round is a written table, so a lost executor costs a
-round at most; no task holds more than its own edges.
+In a round, each task first joins what its own edges connect and leaves one edge
+per node. Then every node follows the smallest of its neighbours and itself by
+hash: both ends of each edge are replaced by theirs, and what falls together
+is gone. Nodes that nobody follows drop out, so the graph shrinks fast; small
+ones are done after the first step. At the end the steps are composed. Every
+round is a written table, so a lost executor costs a round at most, and no task
+holds more than a bounded part of its edges.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from editpulse.llm.common import Scratch, partitions
+from editpulse.llm.common import Scratch
 
 EDGE = "node long, parent long"
+#: A task gives out what it has and starts anew beyond so many nodes.
+MOST_NODES = 1_000_000
 
 
 def roots(a: Iterable[int], b: Iterable[int], parent: dict[int, int] | None = None) -> dict[int, int]:
@@ -41,42 +44,52 @@ def roots(a: Iterable[int], b: Iterable[int], parent: dict[int, int] | None = No
     return parent
 
 
+def forest(parent: dict[int, int]) -> pa.RecordBatch:
+    pairs = [(x, p) for x, p in parent.items() if x != p]
+    nodes, parents = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parents, pa.int64())], ["node", "parent"])
+
+
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
-    for batch in batches:  # the tree keeps one entry per node, however many edges come
+    for batch in batches:  # one entry per node, however many edges come
         roots(batch.column(0).to_pylist(), batch.column(1).to_pylist(), parent)
-    pairs = [(x, p) for x, p in parent.items() if x != p]
-    nodes, parents = zip(*pairs) if pairs else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parents, pa.int64())], ["node", "parent"])
+        if len(parent) > MOST_NODES:
+            yield forest(parent)
+            parent = {}
+    yield forest(parent)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """Edges (two long columns) -> (node, parent): the smallest node of the component, for all nodes but the roots."""
+    """Edges (two long columns) -> (node, parent): the smallest node of the component, for all nodes but the smallest."""
     a, b = edges.columns
-    links = edges.select(F.col(a).alias("node"), F.col(b).alias("parent"))
-    step = 0
-
-    def keep(frame: DataFrame) -> DataFrame:
-        nonlocal step
-        step += 1
-        return scratch.table(frame, f"{name}-{step}")
-
+    links = edges.select(F.col(a).alias("node"), F.col(b).alias("parent")).distinct()
+    steps: list[DataFrame] = []
     while True:
-        links = keep(links.mapInArrow(contract, EDGE))
-        least = links.groupBy("node").agg(F.min("parent").alias("least"), F.max("parent").alias("most"))
-        split = keep(least.where("least < most"))
-        if split.isEmpty():
+        k = len(steps)
+        links = scratch.table(links.mapInArrow(contract, EDGE), f"{name}-links-{k}")
+        both = links.unionByName(links.select(F.col("parent").alias("node"), F.col("node").alias("parent")))
+        # The nearest by a new hash each round, its own among them: chains in the order of ids would be followed one step a round.
+        near = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("parent", F.lit(k)).alias("h"), "parent")).alias("n"))
+        own = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("parent"))
+        least = near.where(F.col("n") < own).select("node", F.col("n.parent").alias("parent"))
+        least = scratch.table(least, f"{name}-step-{k}")
+        steps.append(least)
+        from_a = least.select("node", F.col("parent").alias("a"))
+        from_b = least.select(F.col("node").alias("parent"), F.col("parent").alias("b"))
+        moved = links.join(from_a, "node", "left").join(from_b, "parent", "left")
+        moved = moved.select(F.coalesce("a", "node").alias("node"), F.coalesce("b", "parent").alias("parent")).where("node != parent")
+        links = scratch.table(moved.distinct(), f"{name}-rest-{k}")
+        if links.isEmpty():
             break
-        # A node's other parents are linked to the smallest; nodes with one parent stay as they are.
-        found, other = links.join(split, "node", "left"), F.col("parent") > F.col("least")
-        links = found.select(
-            F.when(other, F.col("parent")).otherwise(F.col("node")).alias("node"),
-            F.when(other, F.col("least")).otherwise(F.col("parent")).alias("parent"),
-        ).repartition(partitions(scratch.spark), "node")
-    forest = links.distinct()
-    while True:
-        up = forest.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-        jumped = keep(forest.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"), F.col("top").isNotNull().alias("moved")))
-        forest = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
-            return forest
+    found = steps[0]
+    for step in steps[1:]:
+        up = step.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+        found = found.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent")).unionByName(step)
+    # Ends are ends by hash; components go by their smallest node.
+    found = scratch.table(found.distinct().withColumnRenamed("parent", "end"), f"{name}-found")
+    ends = found.groupBy("end").agg(F.min("node").alias("low")).select("end", F.least("low", "end").alias("parent"))
+    ends = scratch.table(ends, f"{name}-ends")
+    # An end may have moved in an early round and come back, so it can be in both.
+    nodes = found.join(ends, "end").select("node", "parent").unionByName(ends.withColumnRenamed("end", "node"))
+    return scratch.table(nodes.where("node != parent").distinct(), f"{name}-all")

@@ -4,16 +4,18 @@ Texts become sets of 64-bit hashes of their distinct n-grams; equal sets are one
 class. A class's n-grams are put in one global order, rare first: by a sketch of
 how many documents hold them, then by hash. Two sets of Jaccard similarity t or
 more share an n-gram among the first |x| - ceil(t |x|) + 1 of each, so classes
-are joined on those prefixes. Length and positional filters drop pairs while they
-are made, the suffix filter drops them before verification, and a pair is
-verified once, on the whole sets.
-
-Large groups of near copies would give all pairs many times over. So the join
-has rounds. In the first ones each class is verified against one partner in a
-run, the one it shares most prefix n-grams with, and what links is one group from
-then on. The last round verifies, once, every pair of classes that still lie in
-different groups. So the components are those of all links; links within a
-group found already are not counted one by one.
+are joined on those prefixes. The length filter drops pairs while they are made,
+the positional filter when it is known how much of their prefixes they share, the
+suffix filter when the sets are at hand, and a pair is verified once, on the
+whole sets.
+
+Large groups of near copies would give all pairs many times over. So n-grams that
+the same classes have are joined as one, and the join has rounds. In the first
+ones each class is verified against one partner, the one it shares most prefix
+n-grams with, and what links is one group from then on. The last rounds verify, once, every pair of classes that still lie in
+different groups, the likeliest of each class first, until none is left. So the
+components are those of all links; links within a group found already are not
+counted one by one.
 """
 
 from __future__ import annotations
@@ -33,9 +35,16 @@ from editpulse.llm.components import components
 WORDS = 5
 #: The similarity as a fraction; all bounds are computed in integers.
 NUMERATOR, DENOMINATOR = 75, 100
-STAR_ROUNDS = 2
-#: The sketch has a fixed size at any size of the corpus: 2**20 counters, in 64 slices.
-SKETCH_BITS, SLICE_BITS = 20, 14
+STAR_ROUNDS = 4
+#: In star rounds, a pair is tried if it shares at least one in so many of its n-grams; the last round tries all that the filters leave.
+STAR_SHARE = 20
+#: The last rounds try so many pairs of each class, then MORE_EACH times as many, until none is left.
+FIRST_EACH, MORE_EACH = 8, 16
+#: Pairs of one class verified in one place.
+HUB = 512
+#: The sketch has a fixed size at any size of the corpus: 2**23 counters, in 512 slices; in the end a byte each, on a log scale.
+SKETCH_BITS, SLICE_BITS = 23, 14
+STEPS = 12
 #: Broadcast up to so many rows of 24 bytes; beyond, shuffle.
 SMALL = 500_000
 MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], np.uint64)
@@ -83,7 +92,7 @@ def measure(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     for batch in batches:
         sets = [shingles(t, n) for t in raw_texts(batch)]
         if sets:
-            sketch += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            np.add.at(sketch, (np.concatenate(sets) >> shift).astype(np.int64), 1)
         nothing = len(sets)
         yield pa.RecordBatch.from_arrays([
             *(batch.column(c) for c in names[:3]), pa.array([len(g) for g in sets], pa.int64()),
@@ -99,14 +108,15 @@ def measure(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 def add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums per slice; rows of a slice come one after another, and no more than the sums is held."""
+    """Sums per slice, as bytes with STEPS steps to a doubling; no more than the sums is held."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
             part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
             sums[k] = sums[k] + part if k in sums else part
     yield pa.RecordBatch.from_arrays([
-        pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())
+        pa.array(list(sums), pa.int32()),
+        pa.array([np.minimum(STEPS * np.log2(s + 1), 255).astype(np.uint8).tobytes() for s in sums.values()], pa.binary()),
     ], ["slice", "counts"])
 
 
@@ -114,10 +124,10 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
     """The whole sketch; its size is fixed, so it may come to the driver."""
     slices = 1 << (SKETCH_BITS - SLICE_BITS)
     sums = parts.select("slice", "counts").repartition(slices, "slice").mapInArrow(add_slices, "slice int, counts binary")
-    whole_sketch = np.zeros((slices, 1 << SLICE_BITS), np.int64)
+    whole_sketch = np.zeros((slices, 1 << SLICE_BITS), np.uint8)
     for row in sums.collect():
-        whole_sketch[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(whole_sketch.ravel(), 2**32 - 1).astype(np.uint32)
+        whole_sketch[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+    return whole_sketch.ravel()
 
 
 def least_overlap(a, b):
@@ -131,7 +141,7 @@ def prefix_length(size: int) -> int:
 
 
 def entries(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.RecordBatch]:
-    """gram, class, size, pos: the prefix of each class, once per task."""
+    """gram, class, size: the prefix of each class, once per task."""
     counts, shift = sketch.value, np.uint64(64 - SKETCH_BITS)
     seen: set[int] = set()
     for batch in batches:
@@ -150,8 +160,8 @@ def entries(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.Re
         if grams:
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), places)),
-                pa.array(np.repeat(np.array(sizes, np.int32), places)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in places])),
-            ], ["gram", "class", "size", "pos"])
+                pa.array(np.repeat(np.array(sizes, np.int32), places)),
+            ], ["gram", "class", "size"])
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +169,7 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The last row of a batch is looked at again with the next one.
     """
-    names, types = ["gram", "class", "size", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names, types = ["gram", "class", "size"], [pa.int64(), pa.int64(), pa.int32()]
     last, given = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -183,12 +193,13 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def as_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    names = ["x", "part", "role", "class"]
     for batch in batches:
-        sets = [(name, shingles(t, n)) for name, t in zip(batch.column("class").to_pylist(), raw_texts(batch))]
-        sets = [(name, grams) for name, grams in sets if class_of(grams) == name]  # else another text with that doc_id
-        yield pa.RecordBatch.from_arrays([
-            pa.array([name for name, _ in sets], pa.int64()), pa.array([grams.tobytes() for _, grams in sets], pa.binary())
-        ], ["class", "grams"])
+        sets = [shingles(t, n) for t in raw_texts(batch)]
+        right = pa.array([class_of(g) == name for g, name in zip(sets, batch.column("class").to_pylist())], pa.bool_())
+        grams = pa.array([g.tobytes() for g in sets], pa.binary())
+        # What is left out is another text under the same doc_id.
+        yield pa.RecordBatch.from_arrays([c.filter(right) for c in (*(batch.column(c) for c in names), grams)], [*names, "grams"])
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, cells: int = 32) -> int:
@@ -200,71 +211,123 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, cells: int = 32) -> int:
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by x, part and role: a hub (role 0), then those to be compared with it (role 1)."""
+    place, hub = None, None
     for batch in batches:
-        xs, ys = (batch.column(c).to_pylist() for c in ("x_grams", "y_grams"))
         linked = []
-        for x, y in zip(xs, ys):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            need = least_overlap(len(x), len(y))
-            linked.append(suffix_bound(x, y) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
-        keep = pa.array(linked, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("x", "y")], ["x", "y"])
-
+        columns = [batch.column(c).to_pylist() for c in ("x", "part", "role", "class", "grams")]
+        for x, part, role, name, grams in zip(*columns):
+            grams = np.frombuffer(grams, np.uint64)
+            if role == 0:
+                place, hub = (x, part), grams
+            elif place == (x, part):
+                need = least_overlap(len(hub), len(grams))
+                if suffix_bound(hub, grams) >= need and len(np.intersect1d(hub, grams, assume_unique=True)) >= need:
+                    linked.append((x, name))
+        xs, ys = zip(*linked) if linked else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, scratch: Scratch, name: str, n: int) -> DataFrame:
+    """Of the pairs (x, y), those similar enough, by whole sets made from the texts anew.
+
+    A pair's y goes to where its x is. An x with many pairs is sent to several
+    parts, each with at most about HUB of them.
+    """
+    spark = scratch.spark
+    hubs = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts"))
+    dealt = scratch.table(pairs.join(hubs, "x").select("x", "y", F.pmod(F.xxhash64("y"), "parts").alias("part")), f"{name}-pairs")
+    asked = dealt.select("x", "part", F.lit(1).alias("role"), F.col("y").alias("class"))
+    asked = asked.unionByName(dealt.select("x", "part", F.lit(0).alias("role"), F.col("x").alias("class")).distinct())
+    asked = scratch.table(asked.join(classes.select("class", "_id"), "class"), f"{name}-asked")
+    asked = F.broadcast(asked) if asked.count() <= SMALL else asked
+    rows = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text").join(asked, "_id")
+    sets = rows.select("x", "part", "role", "class", "text").mapInArrow(partial(as_sets, n=n), "x long, part long, role int, class long, grams binary")
+    sets = sets.repartition(partitions(spark), "x", "part").sortWithinPartitions("x", "part", "role", "class")
+    return scratch.table(sets.mapInArrow(verify, "x long, y long"), name)
+
+
+def lengths_allow(a: str, b: str):
+    small, large = F.least(a, b).cast("long"), F.greatest(a, b).cast("long")
+    return DENOMINATOR * small >= NUMERATOR * large
+
+
+def may_link(common, a: str, b: str):
+    """Positional filter on all that the prefixes share.
+
+    Take the set whose prefix ends first in the global order. What it has in its
+    prefix and shares at all lies in the other's prefix too, so ``common`` counts
+    it; all else is behind its prefix. Which one that is isn't known here, so the
+    longer rest is allowed for.
+    """
+    p, q = F.lit(NUMERATOR), F.lit(NUMERATOR + DENOMINATOR)
+    total = F.col(a).cast("long") + F.col(b).cast("long")
+    rest = F.ceil(p * F.greatest(a, b).cast("long") / F.lit(DENOMINATOR)) - 1
+    return common + rest >= F.ceil(p * total / q)
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (x, y), those similar enough."""
-    xs = sets.select(F.col("class").alias("x"), F.col("grams").alias("x_grams"))
-    ys = sets.select(F.col("class").alias("y"), F.col("grams").alias("y_grams"))
-    return pairs.join(ys, "y").join(xs, "x").select("x", "y", "x_grams", "y_grams").mapInArrow(verify, "x long, y long")
 
+def runs_of(shared: DataFrame) -> DataFrame:
+    """(gram, class, size) -> (run, class, size, weight): n-grams that the same classes have are one run.
 
-def may_link(a: str, b: str):
-    """Length and positional filters for rows a (not larger) and b of one gram, as if it was the first they share."""
-    size_a, size_b = F.col(f"{a}_size").cast("long"), F.col(f"{b}_size").cast("long")
-    need = F.ceil(F.lit(NUMERATOR) * (size_a + size_b) / F.lit(NUMERATOR + DENOMINATOR))
-    most = 1 + F.least(size_a - F.col(f"{a}_pos") - 1, size_b - F.col(f"{b}_pos") - 1)
-    return (DENOMINATOR * size_a >= NUMERATOR * size_b) & (most >= need)
+    A passage or a family of copies brings many such n-grams; what they are worth
+    is counted in ``weight``. A run is named by the exclusive or of its classes' hashes.
+    """
+    a, b = two_hashes(F.col("class"))
+    names = shared.groupBy("gram").agg(F.struct(F.bit_xor(a).alias("a"), F.bit_xor(b).alias("b"), F.count(F.lit(1)).alias("n")).alias("run"))
+    return shared.join(names, "gram").groupBy("run", "class", "size").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def star_pairs(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """For each class (later: each group) one pair to verify.
+def star_pairs(runs: DataFrame, groups: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """For each class at most one pair that is worth verifying and was not tried.
 
-    In a run of one gram, in order of size, a class's partner is the first of
-    the run, or the one before it, if the lengths allow; of its partners the one
-    met most often is taken. Runs are read in order by one window each; a window
-    holds two rows, not the run.
+    In a run, in order of size, a class's partners are the first of the run and
+    the one before it, if the lengths allow; of its partners the one with which it
+    shares most is taken, if that is enough. The window holds two rows, not the run.
     """
-    run = Window.partitionBy("gram").orderBy("size", "class")
-    row = F.struct("class", "size", "pos", "group")
-    rows = shared.withColumn("group", F.col("class")) if groups is None else shared.join(groups, "class")
-    seen = rows.select("gram", "class", "size", "pos", "group", F.first(row).over(run).alias("a"), F.lag(row).over(run).alias("b"))
+    run = Window.partitionBy("run").orderBy("size", "class")
+    row = F.struct("class", "size", "group")
+    rows = runs.join(groups, "class")
+    seen = rows.select("class", "size", "group", "weight", F.first(row).over(run).alias("a"), F.lag(row).over(run).alias("b"))
     found = []
     for name in ("a", "b"):
         pair = seen.select(
-            F.col(f"{name}.class").alias("x"), F.col("class").alias("y"), F.col(f"{name}.group").alias("x_group"), F.col("group").alias("y_group"),
-            F.col(f"{name}.size").alias("x_size"), F.col(f"{name}.pos").alias("x_pos"), F.col("size").alias("y_size"), F.col("pos").alias("y_pos"),
+            F.col(f"{name}.class").alias("x"), F.col("class").alias("y"), F.col(f"{name}.size").alias("x_size"), F.col("size").alias("y_size"), "weight"
         )
-        found.append(pair.where((F.col("x_group") != F.col("y_group")) & may_link("x", "y")))
-    votes = found[0].unionByName(found[1]).groupBy("x", "y", "y_group").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("y_group").agg(F.max_by(F.struct("x", "y"), F.struct("n", "x", "y")).alias("p"))
-    return best.select("p.x", "p.y")
+        found.append(pair.where((F.col(f"{name}.group") != F.col("group")) & lengths_allow("x_size", "y_size")))
+    votes = found[0].unionByName(found[1]).groupBy("x", "y", "y_size").agg(F.sum("weight").alias("n"))
+    likely = votes.where(STAR_SHARE * F.col("n") >= F.col("y_size"))
+    likely = likely if tried is None else likely.join(tried, ["x", "y"], "left_anti")
+    best = likely.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
+    return best.select("x", "y")
 
 
-def all_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
+def all_pairs(runs: DataFrame, groups: DataFrame) -> DataFrame:
     """Every pair that passes the filters and lies in different groups; each once.
 
     In each run, the classes outside the run's largest group meet all others; those
     inside it have nothing to find among themselves.
     """
-    rows = shared.join(groups, "class")
-    sizes = rows.groupBy("gram", "group").agg(F.count(F.lit(1)).alias("_n"))
-    runs = sizes.groupBy("gram").agg(F.max_by("group", F.struct("_n", "group")).alias("_main"), F.count(F.lit(1)).alias("_groups"))
-    rows = rows.join(runs.where("_groups > 1").drop("_groups"), "gram")
-    side = lambda s, f: f.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("class", "size", "pos", "group")])
-    few, every = side("x", rows.where("group != _main")), side("y", rows).withColumnRenamed("gram", "_gram")
-    met = few.join(every, F.col("gram") == F.col("_gram")).where(F.col("x_group") != F.col("y_group"))
-    pairs = met.where(may_link("x", "y") | may_link("y", "x"))
-    return pairs.select(F.least("x_class", "y_class").alias("x"), F.greatest("x_class", "y_class").alias("y")).distinct()
+    rows = runs.join(groups, "class")
+    sizes = rows.groupBy("run", "group").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("run").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"))
+    rows = rows.join(mains.where("groups > 1").drop("groups"), "run")
+    few = rows.where("group != main").select("run", F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"), "weight")
+    every = rows.select(
+        F.col("run").alias("of"), F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"), "main"
+    )
+    met = few.join(every, F.col("run") == F.col("of")).where(
+        (F.col("a_group") != F.col("b_group")) & lengths_allow("a_size", "b_size")
+        & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
+    )
+    common = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
+        F.sum("weight").alias("n"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size")
+    )
+    return common.where(may_link(F.col("n"), "a_size", "b_size")).select("x", "y", "n")
+
+
+def with_swapped(tried: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    both = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    return both if tried is None else tried.unionByName(both)
 
 
 def grouped(links: DataFrame, shared_classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -295,24 +358,35 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
         F.min("doc_id").alias("first_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id")
     ), "classes")
 
-    prefixes = texts.select("text").mapInArrow(partial(entries, n=n, sketch=sketch), "gram long, class long, size int, pos int")
+    prefixes = texts.select("text").mapInArrow(partial(entries, n=n, sketch=sketch), "gram long, class long, size int")
     prefixes = prefixes.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "size", "class")
-    shared = scratch.table(prefixes.mapInArrow(shared_only, "gram long, class long, size int, pos int"), "shared")
+    shared = scratch.table(prefixes.mapInArrow(shared_only, "gram long, class long, size int"), "shared")
 
-    sharing = scratch.table(shared.select("class").distinct(), "sharing")
-    wanted = sharing.join(classes, "class").select("class", "_id")
-    wanted = F.broadcast(wanted) if sharing.count() <= SMALL else wanted
-    rows_wanted = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text").join(wanted, "_id").select("class", "text")
-    sets = scratch.table(rows_wanted.mapInArrow(partial(as_sets, n=n), "class long, grams binary"), "sets")
+    runs = scratch.table(runs_of(shared), "runs")
+    sharing = scratch.table(runs.select("class").distinct(), "sharing")
 
-    links, groups = None, None
+    links, groups, tried = None, sharing.select("class", F.col("class").alias("group")), None
     for k in range(star_rounds):
-        found = scratch.table(verified(star_pairs(shared, groups), sets), f"star-{k}")
+        pairs = scratch.table(star_pairs(runs, groups, tried), f"star-{k}")
+        tried = with_swapped(tried, pairs)
+        found = verified(pairs, texts, classes, scratch, f"star-{k}-links", n)
         links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            break
         groups = grouped(links, sharing, scratch, f"round-{k}")
-    found = scratch.table(verified(all_pairs(shared, groups), sets), "rest")
-    groups = grouped(links.unionByName(found), sharing, scratch, "last")
-    scratch.drop("sets", "shared")
+    each, k = FIRST_EACH, 0
+    while True:
+        left = scratch.table(all_pairs(runs, groups).join(tried, ["x", "y"], "left_anti"), f"left-{k}")
+        if left.isEmpty():
+            break
+        nth = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("n"), "x"))
+        pairs = scratch.table(left.withColumn("nth", nth).where(F.col("nth") <= each).select("x", "y"), f"rest-{k}")
+        tried = with_swapped(tried, pairs)
+        found = verified(pairs, texts, classes, scratch, f"rest-{k}-links", n)
+        links = links.unionByName(found)
+        groups = grouped(links, sharing, scratch, f"rest-{k}")
+        each, k = each * MORE_EACH, k + 1
+    scratch.drop("shared", "runs")
 
     named = classes.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     least = named.groupBy("group").agg(F.min("first_id").alias("least"))
