@@ -22,7 +22,6 @@ from editpulse.functions import hourly_rate, looks_anonymous, to_iso
 from editpulse.operators import display, filters, history, live, normalise, rates, trend, windows
 from editpulse.plans import serving, speed_layer
 from editpulse.plans.batch_layer import run_batch_layer
-from editpulse.schemas import SNAPSHOT
 from editpulse.session import configure, run_folder
 from editpulse.sources import (
     read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, union_parts,
@@ -421,6 +420,10 @@ def stream_store(spark, sf_dir):
     return plain(spark.read.parquet(f"{root}/events").drop("event_date"))
 
 
+def baseline_for_long_list(spark, sf_dir):
+    return history.baseline_for(edits(spark, sf_dir), [f"page_{i}" for i in range(0, 4000, 2)])
+
+
 def stream_ingest(spark, sf_dir):
     raw = raw_changes(edits(spark, sf_dir)).select("value")
     path = staged(spark, raw, "ingest", "text")
@@ -487,6 +490,7 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hour_rollup": on_edits(history.hour_rollup),
         "baseline_for_titles": baseline_for_titles,
         "baseline_for_list": baseline_for_list,
+        "baseline_for_long_list": baseline_for_long_list,
         "edit_rate_buckets_5m": on_edits(lambda e: history.edit_rate_buckets(e, 5, 48)),
         "edit_rate_buckets_7m": on_edits(lambda e: history.edit_rate_buckets(e, 7, 500)),
         "event_time_columns": event_time_columns,

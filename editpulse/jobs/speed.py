@@ -33,7 +33,6 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--policy", choices=sorted(POLICIES), default="rate")
     p.add_argument("--time", choices=["event", "arrival"], default="event")
     p.add_argument("--per-trigger", type=int, default=None, help="files per micro-batch")
-    p.add_argument("--emit-empty", action="store_true")
     p.add_argument("--until-done", action="store_true", help="process what is there and stop")
     args = p.parse_args(argv)
 
@@ -57,7 +56,6 @@ def main(argv: list[str] | None = None) -> None:
         settings,
         POLICIES[args.policy],
         seconds=None if args.until_done else args.batch_seconds,
-        emit_empty=args.emit_empty,
     )
     query.awaitTermination()
 

@@ -52,8 +52,9 @@ def recent_events(
     tie: Sequence[str] = ("title", "user"),
     keep: int = DEFAULTS.recent_events,
 ) -> DataFrame:
-    """The newest ``n`` events (between 1 and ``keep``), newest first."""
-    n = max(1, min(n, keep))
+    """The newest ``n`` events, newest first; ``n`` lies between 1 and ``keep``."""
+    if not 1 <= n <= keep:
+        raise ValueError(f"n must be between 1 and {keep}")
     newest = events.orderBy(F.desc("timestamp"), *[F.desc(c) for c in tie]).limit(n)
     return newest.select(to_iso(F.col("timestamp")).alias("timestamp"), *RECENT_COLUMNS[1:])
 

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULTS, Settings
 
-# Above this many values a list becomes a join instead of a literal set.
-MAX_LITERAL_TITLES = 1000
-
 
 def ingest_condition(settings: Settings = DEFAULTS, prefix: str = "") -> Column:
     """The ingestion filter as one predicate; null fields fail it."""
@@ -47,10 +44,7 @@ def positive_baseline(baseline: DataFrame) -> DataFrame:
 
 
 def only_titles(events: DataFrame, titles: DataFrame | Sequence[str]) -> DataFrame:
-    """Events of the given titles: a literal set when short, a left-semi join otherwise."""
+    """Events of the given titles, by a left-semi join; a list of any length is one."""
     if not isinstance(titles, DataFrame):
-        names = list(titles)
-        if len(names) <= MAX_LITERAL_TITLES:
-            return events.where(F.col("title").isin(names))
-        titles = events.sparkSession.createDataFrame([(t,) for t in names], "title string")
+        titles = events.sparkSession.createDataFrame([(t,) for t in titles], "title string")
     return events.join(titles.select("title"), "title", "left_semi")

@@ -1,8 +1,9 @@
 """Sliding-window counts and trending snapshots on streams.
 
-Windows are on event time. Counting goes through slide-wide panes: the state
-holds one row per title and pane instead of one per title and window, and only
-finished pane counts are copied into the windows that contain them.
+Windows are on event time. Counting goes through slide-wide panes: while a pane is
+open the state holds one row per title and pane, and finished pane counts, not
+events, are copied into the windows that contain them, which then hold one row per
+title and open window.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from ..config import DEFAULTS, Settings
 from ..functions import to_iso
 from ..operators import live, rates, trend
 from ..operators.filters import with_title
-from ..operators.windows import seconds_interval
 from ..sinks import append_metrics, publish_snapshots
 from .ingest import trigger
 
@@ -44,20 +44,6 @@ def sliding_count_stream(
     )
 
 
-def _empty_document(batch: DataFrame, settings: Settings, policy: trend.TrendPolicy) -> DataFrame:
-    """Zeros and no articles, for a moment in which no window has finished."""
-    now = F.date_trunc("second", F.current_timestamp())
-    counts = batch.limit(0).drop("window_start", "window_end")
-    ranked = trend.trending(counts, None, settings.window_seconds, policy, settings)
-    document = live.snapshot(counts, ranked, settings.window_seconds, to_iso(F.current_timestamp()))
-    return document.select(
-        "generated_at",
-        (now - seconds_interval(settings.window_seconds)).alias("window_start"),
-        now.alias("window_end"),
-        *document.columns[1:],
-    )
-
-
 def trending_stream(
     events: DataFrame,
     baseline: DataFrame | Callable[[], DataFrame] | None,
@@ -66,14 +52,13 @@ def trending_stream(
     settings: Settings = DEFAULTS,
     policy: trend.TrendPolicy = trend.RATE,
     seconds: float | None = DEFAULTS.trigger_seconds,
-    emit_empty: bool = False,
 ) -> StreamingQuery:
     """Rank every finished window and publish its snapshot document.
 
     Below ``output``: ``history`` (one document per window, by batch), ``latest``
     (the newest document) and ``metrics``. A baseline given as a callable is read
     again for each micro-batch. A batch without a finished window publishes
-    nothing, or with ``emit_empty`` one document with zeros.
+    nothing: an unfinished window is not an empty one.
     """
     root = output.rstrip("/")
 
@@ -84,14 +69,11 @@ def trending_stream(
         try:
             # The one run of the stateful plan; what follows reads its result.
             if counts.count() == 0:
-                if not emit_empty:
-                    return
-                documents = _empty_document(batch, settings, policy)
-            else:
-                known = baseline() if callable(baseline) else baseline
-                per = ["window_start", "window_end"]
-                ranked = trend.trending(counts, known, settings.window_seconds, policy, settings, per=per)
-                documents = live.snapshots(counts, ranked, settings.window_seconds, to_iso(F.current_timestamp()), per)
+                return
+            known = baseline() if callable(baseline) else baseline
+            per = ["window_start", "window_end"]
+            ranked = trend.trending(counts, known, settings.window_seconds, policy, settings, per=per)
+            documents = live.snapshots(counts, ranked, settings.window_seconds, to_iso(F.current_timestamp()), per)
             stored = publish_snapshots(documents, root, batch_id)
             latency = (time.perf_counter() - started) * 1000.0
             samples = rates.snapshot_metrics(stored, F.col("window_end"), settings.metric_namespace)

@@ -165,6 +165,7 @@ ORACLE: dict[str, str] = {
     ),
     "baseline_for_titles": _all(_BASELINE_FOR.format(titles="SELECT title FROM recent"), RECENT),
     "baseline_for_list": _all(_BASELINE_FOR.format(titles="SELECT 'page_' || i FROM range(40) r(i)")),
+    "baseline_for_long_list": _all(_BASELINE_FOR.format(titles="SELECT 'page_' || (2 * i) FROM range(2000) r(i)")),
     "edit_rate_buckets_5m": _all(_BUCKETS.format(n=5, limit=48)),
     "edit_rate_buckets_7m": _all(_BUCKETS.format(n=7, limit=500)),
     "event_time_columns": _all(

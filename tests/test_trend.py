@@ -117,8 +117,10 @@ def test_recent_events(spark):
     newest = display.recent_events(events, 3).collect()
     assert [r.title for r in newest] == ["t249", "t248", "t247"]
     assert newest[0].timestamp == "2024-03-01T12:04:09+00:00"
-    assert display.recent_events(events, 0).count() == 1
-    assert display.recent_events(events, 999).count() == 200
+    assert display.recent_events(events, 200).count() == 200
+    for n in (0, 201):
+        with pytest.raises(ValueError):
+            display.recent_events(events, n)
 
 
 def test_settings_change_the_rules(spark):
