@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from editpulse.llm.common import Scratch, documents, whole
 
-FALSE_SHARE = 0.01
+FALSE_SHARE = 0.05
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -77,7 +77,7 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
 def randomness(symbols: np.ndarray, size: int) -> np.ndarray:
     """Combined p-value of each row of symbols (0..size-1) as uniform draws."""
     rows, n = symbols.shape
-    cells = max(2, min(size, n // 5))
+    cells = max(2, min(size, n // 3))
     cell = symbols * cells // size
     share = np.bincount(np.arange(size) * cells // size, minlength=cells) / size
     counts = np.zeros((rows, cells))
@@ -148,7 +148,9 @@ def decoys(texts: list[str]) -> np.ndarray:
     table = table.copy()
     table[[ord("+"), ord("/")]] = 62, 63
     longest = int(LENGTHS[-1])
-    stretches = [NOT_TOKEN.sub("", t[len(t) // 2 : len(t) // 2 + 4 * longest])[:longest] for t in texts]
+    starts = [max(t.find(" ", len(t) // 2), 0) for t in texts]
+    # Runs that are candidates themselves are no ordinary text.
+    stretches = [NOT_TOKEN.sub("", TOKEN.sub(" ", t[at : at + 8 * longest]))[:longest] for t, at in zip(texts, starts)]
     for k, length in enumerate(LENGTHS.tolist()):
         enough = [s[:length] for s in stretches if len(s) >= length]
         if enough:
