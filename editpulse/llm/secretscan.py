@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from editpulse.llm.common import Scratch, documents, whole
 
-FALSE_SHARE = 0.05
+FALSE_SHARE = 0.01
 KINDS = ("assign", "access", "hex", "random")
 
 

@@ -180,8 +180,8 @@ def test_random_strings_stand_out(spark):
         rows.append((i, f"{prose} {secrets[i] if i < 40 else name} {prose}"))
     found = secretscan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     hits = {r.doc_id for r in found if r.spans}
-    assert len(hits & set(range(40))) >= 30
-    assert len(hits - set(range(40))) <= 2
+    assert len(hits & set(range(40))) >= 36
+    assert len(hits - set(range(40))) <= 6  # of 300 names with underscores, which are less like words than the decoys
 
 
 def test_secrets_of_nothing(empty):
