@@ -4,10 +4,10 @@ Texts become sets of 64-bit hashes of their distinct n-grams; equal sets are one
 class. A class's n-grams are put in one global order, rare first: by a sketch of
 how many documents hold them, then by hash. Two sets of Jaccard similarity t or
 more share an n-gram among the first |x| - ceil(t |x|) + 1 of each, so classes
-are joined on those prefixes. The length filter drops pairs while they are made,
-the positional filter when it is known how much of their prefixes they share, the
-suffix filter when the sets are at hand, and a pair is verified once, on the
-whole sets.
+are joined on those prefixes. The length filter and the positional filter drop
+pairs while they are made, a count of what they share in their prefixes drops more,
+the suffix filter works when the sets are at hand, and a pair is verified once, on
+the whole sets.
 
 Large groups of near copies would give all pairs many times over. So n-grams that
 the same classes have are joined as one, and the join has rounds. In the first
@@ -40,6 +40,8 @@ STAR_ROUNDS = 4
 STAR_SHARE = 20
 #: The last rounds try so many pairs of each class, then MORE_EACH times as many, until none is left.
 FIRST_EACH, MORE_EACH = 8, 16
+#: Where between the shortest and the longest right ones the prefixes of a pair end.
+PAIR_PREFIX = 0.25
 #: Pairs of one class verified in one place.
 HUB = 512
 #: The sketch has a fixed size at any size of the corpus: 2**23 counters, in 512 slices; in the end a byte each, on a log scale.
@@ -141,11 +143,11 @@ def prefix_length(size: int) -> int:
 
 
 def entries(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.RecordBatch]:
-    """gram, class, size: the prefix of each class, once per task."""
+    """gram, class, size, place in the order: the prefix of each class, once per task."""
     counts, shift = sketch.value, np.uint64(64 - SKETCH_BITS)
     seen: set[int] = set()
     for batch in batches:
-        grams, classes, sizes, places = [], [], [], []
+        grams, classes, sizes, firsts = [], [], [], []
         for text in raw_texts(batch):
             own = shingles(text, n)
             if not len(own) or (name := class_of(own)) in seen:
@@ -156,12 +158,12 @@ def entries(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.Re
             grams.append(own[order])
             classes.append(name)
             sizes.append(len(own))
-            places.append(first)
+            firsts.append(first)
         if grams:
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), places)),
-                pa.array(np.repeat(np.array(sizes, np.int32), places)),
-            ], ["gram", "class", "size"])
+                pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), firsts)),
+                pa.array(np.repeat(np.array(sizes, np.int32), firsts)), pa.array(np.concatenate([np.arange(f, dtype=np.int32) for f in firsts])),
+            ], ["gram", "class", "size", "place"])
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,7 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The last row of a batch is looked at again with the next one.
     """
-    names, types = ["gram", "class", "size"], [pa.int64(), pa.int64(), pa.int32()]
+    names, types = ["gram", "class", "size", "place"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     last, given = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -252,29 +254,38 @@ def lengths_allow(a: str, b: str):
     return DENOMINATOR * small >= NUMERATOR * large
 
 
-def may_link(common, a: str, b: str):
-    """Positional filter on all that the prefixes share.
+def required(a: str, b: str):
+    """(overlap, shared): what similar sets of such sizes have in common at least, and how much of it within their pair prefixes.
 
-    Take the set whose prefix ends first in the global order. What it has in its
-    prefix and shares at all lies in the other's prefix too, so ``common`` counts
-    it; all else is behind its prefix. Which one that is isn't known here, so the
-    longer rest is allowed for.
+    A pair's prefixes are the first ``size - overlap + shared`` n-grams of each.
+    Take the one that ends first in the global order: what it holds and shares at
+    all lies in the other one too, and only ``overlap - shared`` n-grams are behind
+    it. So sets with less than ``shared`` in common there are not similar. Any
+    ``shared`` from 1 to what the stored prefixes allow is right: a small one
+    makes prefixes short, a large one is harder to reach.
     """
     p, q = F.lit(NUMERATOR), F.lit(NUMERATOR + DENOMINATOR)
-    total = F.col(a).cast("long") + F.col(b).cast("long")
-    rest = F.ceil(p * F.greatest(a, b).cast("long") / F.lit(DENOMINATOR)) - 1
-    return common + rest >= F.ceil(p * total / q)
+    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    overlap = F.ceil(p * (x + y) / q)
+    most = overlap - F.ceil(p * F.greatest(x, y) / F.lit(DENOMINATOR)) + 1
+    return overlap, 1 + F.floor((most - 1) * F.lit(PAIR_PREFIX))
+
+
+def within_prefixes(a: str, b: str, a_place: str, b_place: str):
+    """Positional filter: a run that begins behind either pair prefix proves nothing; if the sets are similar, others do."""
+    overlap, shared = required(a, b)
+    return (F.col(a_place) < F.col(a) - overlap + shared) & (F.col(b_place) < F.col(b) - overlap + shared)
 
 
 def runs_of(shared: DataFrame) -> DataFrame:
-    """(gram, class, size) -> (run, class, size, weight): n-grams that the same classes have are one run.
+    """(gram, class, size, place) -> (run, class, size, weight, place): n-grams that the same classes have are one run.
 
     A passage or a family of copies brings many such n-grams; what they are worth
-    is counted in ``weight``. A run is named by the exclusive or of its classes' hashes.
+    is counted in ``weight``, and ``place`` is where the first of them, the same for all, stands. A run is named by the exclusive or of its classes' hashes.
     """
     a, b = two_hashes(F.col("class"))
     names = shared.groupBy("gram").agg(F.struct(F.bit_xor(a).alias("a"), F.bit_xor(b).alias("b"), F.count(F.lit(1)).alias("n")).alias("run"))
-    return shared.join(names, "gram").groupBy("run", "class", "size").agg(F.count(F.lit(1)).alias("weight"))
+    return shared.join(names, "gram").groupBy("run", "class", "size").agg(F.count(F.lit(1)).alias("weight"), F.min("place").alias("place"))
 
 
 def star_pairs(runs: DataFrame, groups: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -311,18 +322,19 @@ def all_pairs(runs: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = rows.groupBy("run", "group").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("run").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"))
     rows = rows.join(mains.where("groups > 1").drop("groups"), "run")
-    few = rows.where("group != main").select("run", F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"), "weight")
+    few = rows.where("group != main").select("run", F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"), F.col("place").alias("a_place"), "weight")
     every = rows.select(
-        F.col("run").alias("of"), F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"), "main"
+        F.col("run").alias("of"), F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"), F.col("place").alias("b_place"), "main"
     )
     met = few.join(every, F.col("run") == F.col("of")).where(
         (F.col("a_group") != F.col("b_group")) & lengths_allow("a_size", "b_size")
+        & within_prefixes("a_size", "b_size", "a_place", "b_place")
         & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
     )
     common = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
         F.sum("weight").alias("n"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size")
     )
-    return common.where(may_link(F.col("n"), "a_size", "b_size")).select("x", "y", "n")
+    return common.where(F.col("n") >= required("a_size", "b_size")[1]).select("x", "y", "n")
 
 
 def with_swapped(tried: DataFrame | None, pairs: DataFrame) -> DataFrame:
@@ -358,9 +370,9 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
         F.min("doc_id").alias("first_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id")
     ), "classes")
 
-    prefixes = texts.select("text").mapInArrow(partial(entries, n=n, sketch=sketch), "gram long, class long, size int")
+    prefixes = texts.select("text").mapInArrow(partial(entries, n=n, sketch=sketch), "gram long, class long, size int, place int")
     prefixes = prefixes.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "size", "class")
-    shared = scratch.table(prefixes.mapInArrow(shared_only, "gram long, class long, size int"), "shared")
+    shared = scratch.table(prefixes.mapInArrow(shared_only, "gram long, class long, size int, place int"), "shared")
 
     runs = scratch.table(runs_of(shared), "runs")
     sharing = scratch.table(runs.select("class").distinct(), "sharing")
