@@ -413,11 +413,33 @@ def stream_snapshot(spark, sf_dir):
     return latest.select("window_seconds", "total_events_in_window", "distinct_articles_in_window")
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> str:
+    """Store the edits as a stream, in two runs; the name of the table over them."""
+    events = zoned(edits(spark, sf_dir))
+    root = run_folder(spark, "store")
+    name = "edit_store_" + root.rsplit("-", 1)[-1]
+    for half in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        events.where(half).write.mode("append").parquet(f"{root}/in")
+        stream = read_stream(spark, f"{root}/in", events.schema)
+        store_stream(stream, f"{root}/events", f"{root}/checkpoint", None).awaitTermination()
+        create_event_table(spark, name, f"{root}/events")
+    return name
+
+
 def stream_store(spark, sf_dir):
-    stream, root = edit_stream(spark, sf_dir, "store", close=False)
-    store_stream(stream, f"{root}/events", f"{root}/checkpoint", None).awaitTermination()
-    create_event_table(spark, "edit_store_" + root.rsplit("-", 1)[-1], f"{root}/events")
-    return plain(spark.read.parquet(f"{root}/events").drop("event_date"))
+    name = event_table(spark, sf_dir)
+    stored = plain(spark.table(name).drop("event_date"))
+    spark.sql(f"DROP TABLE {name}")  # the frame has resolved its files
+    return stored
+
+
+def sql_event_table(spark, sf_dir):
+    name = event_table(spark, sf_dir)
+    sql = f"select event_date, title, count(*) as edits from {name} where namespace = ? group by event_date, title"
+    found = serving.query(spark, sql, [0])
+    found.schema
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def baseline_for_long_list(spark, sf_dir):
@@ -556,6 +578,7 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_trending": stream_trending,
         "stream_snapshot": stream_snapshot,
         "stream_store": stream_store,
+        "sql_event_table": sql_event_table,
         "stream_ingest": stream_ingest,
         "stream_landing": stream_landing,
         "stream_ingest_metrics": stream_ingest_metrics,

@@ -13,9 +13,6 @@ from ..config import DEFAULTS
 # The column the event store is partitioned by.
 DATE_PARTITION = "event_date"
 
-# From this many windows per pane on, finding the panes worth copying costs less than copying all.
-MANY_COPIES = 10
-
 
 def seconds_interval(seconds: int) -> Column:
     return F.make_dt_interval(secs=F.lit(seconds))
@@ -109,13 +106,13 @@ def sliding_counts(
 
     Events are counted into panes first, so the copying of a row into each of
     its ``window / slide`` windows happens to pane counts and not to events.
-    With ``at_least`` only windows with that many edits are returned; where a pane
-    has many windows, panes that no such window can contain are not copied at all.
+    With ``at_least`` only windows with that many edits are returned, and panes
+    that no such window can contain are not copied at all.
     """
     if window_seconds % slide_seconds:
         raise ValueError("the window must be a multiple of the slide")
     counted = panes(events, slide_seconds, ts)
-    if at_least > 1 and window_seconds // slide_seconds >= MANY_COPIES:
+    if at_least > 1:
         counted = _busy_panes(counted, window_seconds, at_least)
     windows = F.window(F.col("pane.start"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import DEFAULTS, Settings
 from ..operators import display, history, live, trend, windows
 from ..operators.filters import drop_if_all_null, only_titles
-from ..operators.normalise import ingest_counters
+from ..operators.normalise import counter_columns, with_drop_rate
 from ..sources.tables import read_parts, register_tables
 from ..schemas import BASELINE
 from .speed_layer import trending_now
@@ -91,16 +91,18 @@ def health_view(
     ts = F.col("event.timestamp")
     good = F.col("reject_reason").isNull() & ingest_condition(settings, prefix="event.")
     in_window = good & (ts >= at - windows.seconds_interval(window_seconds)) & (ts <= at)
-    state = normalised.agg(
+    # One aggregation, so that the records are parsed once.
+    counted = normalised.agg(
+        *counter_columns(settings),
         F.count_if(in_window).alias("events_in_window"),
         F.max(F.when(good, ts)).alias("last_event_at"),
     )
     idle = (F.unix_micros(at) - F.unix_micros("last_event_at")).cast("double") / 1e6
-    return ingest_counters(normalised, settings).select(
-        "*",
+    return with_drop_rate(counted).select(
+        "total_received", "total_accepted", "total_filtered", "total_parse_errors", "drop_rate", "reject_share",
         F.lit(window_seconds).alias("window_size_seconds"),
-        state.select("events_in_window").scalar().alias("events_in_window"),
-        state.select(F.round(idle, 2)).scalar().alias("seconds_since_last_event"),
+        "events_in_window",
+        F.round(idle, 2).alias("seconds_since_last_event"),
     )
 
 

@@ -89,9 +89,23 @@ def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 
 def create_event_table(spark: SparkSession, name: str, path: str) -> None:
-    """Create the event table over a folder unless it exists."""
+    """Create the event table over a folder unless it exists, and register the dates stored there."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT.fields)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}, event_date DATE) "
         f"USING parquet PARTITIONED BY (event_date) LOCATION '{path}'"
     )
+    register_dates(spark, name)
+
+
+def register_dates(spark: SparkSession, name: str) -> None:
+    """Let the event table see the dates and files that were stored since.
+
+    A table made over a folder that a stream has written to goes by the stream's
+    log; its dates are not in the catalogue and need no registering.
+    """
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.sql(f"MSCK REPAIR TABLE {name} ADD PARTITIONS")
+    spark.catalog.refreshTable(name)

@@ -357,6 +357,9 @@ SELECT *, (SELECT min_by(runtime_seconds, executors) FROM runs) / runtime_second
  count(*) AS distinct_articles_in_window FROM counts WHERE window_end = (SELECT max(window_end) FROM counts)""",
         SLIDING,
     ),
+    "sql_event_table": _all(
+        """SELECT CAST("timestamp" AS DATE) AS event_date, title, count(*) AS edits FROM edits WHERE namespace = 0 GROUP BY ALL"""
+    ),
     "stream_store": _all(f"SELECT {EVENT_COLUMNS} FROM edits"),
     "stream_ingest": _all(f"SELECT {EVENT_COLUMNS} FROM passing", EXPECTED),
     "stream_landing": _all(

@@ -83,6 +83,18 @@ def test_event_table_is_created_once(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_event_table_shows_what_is_stored(spark, tmp_path):
+    name, path = "events_" + run_folder(spark, "x").rsplit("-", 1)[-1], str(tmp_path / "events")
+    for k, points in enumerate([[(0, "A")], [(1, "A"), (86400, "B")]]):
+        dated = edits(spark, points).withColumn("event_date", F.to_date("timestamp"))
+        dated.write.mode("append").partitionBy("event_date").parquet(path)
+        create_event_table(spark, name, path)
+        assert spark.table(name).count() == (1, 3)[k]
+    newest = spark.table(name).where("event_date = (select max(event_date) from " + name + ")")
+    assert rows(newest, "title") == [("B",)]
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_rates(spark):
     events = edits(spark, [(i, "A") for i in (0, 1, 9, 10, 299, 300)])
     rate = ingest_rate(events)
