@@ -24,7 +24,8 @@ def publish_snapshots(documents: DataFrame, path: str, batch_id: int) -> DataFra
     """
     spark, root = documents.sparkSession, path.rstrip("/")
     history = f"{root}/history/batch_id={batch_id}"
-    documents.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(history)
+    # By window, so that only the finished documents move, not the ranking behind them.
+    documents.repartition("window_end").write.mode("overwrite").option("ignoreNullFields", "false").json(history)
     stored = spark.read.schema(documents.schema).json(history)
     newest = stored.orderBy(F.desc("window_end")).limit(1)
     newest.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/latest")

@@ -50,6 +50,14 @@ def test_only_the_columns_needed_are_read(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,props:string>" in plan(history.article_baseline(contract.edits(spark, SF)))
 
 
+def test_no_event_is_copied_for_distinct_counts(spark):
+    assert "Expand" not in plan(contract.queries()["live_metrics"](spark, SF))
+
+
+def test_health_reads_the_records_once(spark):
+    assert plan(contract.queries()["health_view"](spark, SF)).count("FileScan") == 1
+
+
 def test_window_ranking_is_cut_before_the_shuffle(spark):
     ranked = speed_layer.trending_replay(contract.edits(spark, SF), None, 86400, 21600, COUNT)
     text = plan(ranked)
