@@ -1,11 +1,11 @@
 """Structured Streaming pipelines over the shared operators."""
 
 from .ingest import ingest_batch, ingest_stream, land_stream, store_stream
-from .metrics import metrics_stream, progress_metrics
+from .metrics import metrics_stream, ProgressTable
 from .trending import sliding_count_stream, trending_stream
 
 __all__ = [
     "ingest_batch", "ingest_stream", "land_stream", "store_stream",
-    "metrics_stream", "progress_metrics",
+    "metrics_stream", "ProgressTable",
     "sliding_count_stream", "trending_stream",
 ]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..config import DEFAULTS, Settings
 from ..operators.rates import ingest_metrics
 from ..schemas import METRIC
+from ..sinks import write_batch
 from .ingest import trigger
 
 
@@ -41,15 +42,32 @@ def metrics_stream(
     return trigger(writer, seconds).start()
 
 
-def progress_metrics(spark: SparkSession, query: StreamingQuery, settings: Settings = DEFAULTS) -> DataFrame:
-    """Rows read and batch duration of the query's recent micro-batches as metric samples.
+class ProgressTable(StreamingQueryListener):
+    """Append rows read, duration and late rows of every micro-batch to a metrics table.
 
-    Spark keeps a bounded number of progress reports, so this is a small frame.
+    Spark keeps only the last reports of a query; this one is told of each. A
+    micro-batch has a folder of its own, so none is counted twice. Add it with
+    ``spark.streams.addListener``.
     """
-    samples = []
-    for report in query.recentProgress:
-        at = datetime.fromisoformat(report["timestamp"].replace("Z", "+00:00"))
-        duration = report["durationMs"].get("triggerExecution", 0)
-        samples.append((settings.metric_namespace, "StreamInputRows", float(report["numInputRows"]), "Count", at))
-        samples.append((settings.metric_namespace, "StreamBatchDurationMs", float(duration), "Milliseconds", at))
-    return spark.createDataFrame(samples, METRIC)
+
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = DEFAULTS):
+        self.spark, self.path, self.settings = spark, path.rstrip("/"), settings
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        report = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in report.stateOperators)
+        values = (
+            ("StreamInputRows", report.numInputRows, "Count"),
+            ("StreamBatchDurationMs", report.batchDuration, "Milliseconds"),
+            ("StreamLateRows", late, "Count"),
+        )
+        at = datetime.fromisoformat(report.timestamp.replace("Z", "+00:00"))
+        samples = [(self.settings.metric_namespace, name, float(value), unit, at) for name, value, unit in values]
+        rows = self.spark.createDataFrame(samples, METRIC).coalesce(1)
+        write_batch(rows, f"{self.path}/query_id={report.id}/run_id={report.runId}", report.batchId)
+
+    def onQueryTerminated(self, event) -> None:
+        pass

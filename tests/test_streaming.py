@@ -11,7 +11,7 @@ from editpulse.plans import speed_layer
 from editpulse.schemas import EVENT
 from editpulse.sources import read_snapshot, read_snapshots, read_stream, with_arrival_time
 from editpulse.streaming import (
-    ingest_stream, metrics_stream, progress_metrics, sliding_count_stream, store_stream, trending_stream,
+    ProgressTable, ingest_stream, metrics_stream, sliding_count_stream, store_stream, trending_stream,
 )
 from editpulse.streaming.ingest import observed
 from editpulse.operators.normalise import normalise
@@ -177,8 +177,24 @@ def test_observed_counters(spark, tmp_path):
     query.awaitTermination()
     row = [p["observedMetrics"]["ingest"] for p in query.recentProgress if p["numInputRows"]][0]
     assert (row["total_received"], row["total_accepted"], row["total_parse_errors"]) == (12, 9, 2)
-    samples = progress_metrics(spark, query)
-    assert samples.where("metric_name = 'StreamInputRows'").agg(F.sum("value")).first()[0] == 14.0
+
+
+def test_every_report_and_late_row_is_stored(spark, tmp_path):
+    listener = ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(listener)
+    try:
+        add(spark, tmp_path, [(0, "a"), (1000, "a")], "a")
+        run_counts(spark, tmp_path)
+        add(spark, tmp_path, [(1100, "a")], "b")
+        run_counts(spark, tmp_path)
+        add(spark, tmp_path, [(5, "late"), (1050, "in time")], "c")
+        run_counts(spark, tmp_path)
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        sums = spark.read.parquet(str(tmp_path / "progress")).groupBy("metric_name").agg(F.sum("value").alias("v"))
+        found = dict(map(tuple, sums.collect()))
+    finally:
+        spark.streams.removeListener(listener)
+    assert (found["StreamInputRows"], found["StreamLateRows"]) == (5.0, 1.0)
 
 
 def test_rate_metrics_stream(spark, tmp_path):
