@@ -1,7 +1,9 @@
 """Connected components of a graph too large for one machine.
 
 In a round, each task first joins what its own edges connect and leaves one edge
-per node. Then every node follows the smallest of its neighbours and itself by
+per node. Tasks get edges up to a fixed number, so a small graph is whole in one
+and is done; a larger one is done as soon as the tasks' trees touch nowhere. Else
+every node follows the smallest of its neighbours and itself by
 hash: both ends of each edge are replaced by theirs, and what falls together
 is gone. Nodes that nobody follows drop out, so the graph shrinks fast; small
 ones are done after the first step. At the end the steps are composed. Every
@@ -21,6 +23,8 @@ from editpulse.llm.common import Scratch
 EDGE = "node long, parent long"
 #: A task gives out what it has and starts anew beyond so many nodes.
 MOST_NODES = 1_000_000
+#: So many edges go to one task.
+TASK_EDGES = 250_000
 
 
 def roots(a: Iterable[int], b: Iterable[int], parent: dict[int, int] | None = None) -> dict[int, int]:
@@ -60,6 +64,12 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest(parent)
 
 
+def trees_apart(links: DataFrame) -> bool:
+    """Whether every node has one parent, which has none: then the tasks have found whole components."""
+    nodes = links.select("node").unionByName(links.select(F.col("parent").alias("node")).distinct())
+    return nodes.groupBy("node").count().where("count > 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """Edges (two long columns) -> (node, parent): the smallest node of the component, for all nodes but the smallest."""
     a, b = edges.columns
@@ -67,7 +77,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     steps: list[DataFrame] = []
     while True:
         k = len(steps)
+        links = scratch.table(links, f"{name}-edges-{k}")
+        links = links.coalesce(links.count() // TASK_EDGES + 1)
         links = scratch.table(links.mapInArrow(contract, EDGE), f"{name}-links-{k}")
+        if trees_apart(links):
+            steps.append(links)
+            break
         both = links.unionByName(links.select(F.col("parent").alias("node"), F.col("node").alias("parent")))
         # The nearest by a new hash each round, its own among them: chains in the order of ids would be followed one step a round.
         near = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("parent", F.lit(k)).alias("h"), "parent")).alias("n"))
@@ -79,9 +94,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         from_b = least.select(F.col("node").alias("parent"), F.col("parent").alias("b"))
         moved = links.join(from_a, "node", "left").join(from_b, "parent", "left")
         moved = moved.select(F.coalesce("a", "node").alias("node"), F.coalesce("b", "parent").alias("parent")).where("node != parent")
-        links = scratch.table(moved.distinct(), f"{name}-rest-{k}")
-        if links.isEmpty():
-            break
+        links = moved.distinct()
     found = steps[0]
     for step in steps[1:]:
         up = step.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
