@@ -5,17 +5,16 @@ class. A class's n-grams are put in one global order, rare first: by a sketch of
 how many documents hold them, then by hash. Two sets of Jaccard similarity t or
 more share an n-gram among the first |x| - ceil(t |x|) + 1 of each, so classes
 are joined on those prefixes. The length filter and the positional filter drop
-pairs while they are made, a count of what they share in their prefixes drops more,
-the suffix filter works when the sets are at hand, and a pair is verified once, on
-the whole sets.
+pairs while they are made, the suffix filter works when the sets are at hand, and a
+pair is verified once, on the whole sets.
 
 Large groups of near copies would give all pairs many times over. So n-grams that
 the same classes have are joined as one, and the join has rounds. In the first
 ones each class is verified against one partner, the one it shares most prefix
-n-grams with, and what links is one group from then on. The last rounds verify, once, every pair of classes that still lie in
-different groups, the likeliest of each class first, until none is left. So the
-components are those of all links; links within a group found already are not
-counted one by one.
+n-grams with among some of a random order, and what links is one group from then
+on. The last rounds verify, once, every pair of classes that still lie in different
+groups, the likeliest of each class first, until none is left. So the components are
+those of all links; links within a group found already are not counted one by one.
 """
 
 from __future__ import annotations
@@ -38,10 +37,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 STAR_ROUNDS = 4
 #: In star rounds, a pair is tried if it shares at least one in so many of its n-grams; the last round tries all that the filters leave.
 STAR_SHARE = 20
+#: How far the cuts of the bands move from round to round.
+GOLDEN = 0.618
 #: The last rounds try so many pairs of each class, then MORE_EACH times as many, until none is left.
 FIRST_EACH, MORE_EACH = 8, 16
-#: Where between the shortest and the longest right ones the prefixes of a pair end.
-PAIR_PREFIX = 0.25
 #: Pairs of one class verified in one place.
 HUB = 512
 #: The sketch has a fixed size at any size of the corpus: 2**23 counters, in 512 slices; in the end a byte each, on a log scale.
@@ -254,27 +253,15 @@ def lengths_allow(a: str, b: str):
     return DENOMINATOR * small >= NUMERATOR * large
 
 
-def required(a: str, b: str):
-    """(overlap, shared): what similar sets of such sizes have in common at least, and how much of it within their pair prefixes.
+def within_prefixes(a: str, b: str, a_place: str, b_place: str):
+    """Positional filter by the overlap that sets of such sizes need at least.
 
-    A pair's prefixes are the first ``size - overlap + shared`` n-grams of each.
-    Take the one that ends first in the global order: what it holds and shares at
-    all lies in the other one too, and only ``overlap - shared`` n-grams are behind
-    it. So sets with less than ``shared`` in common there are not similar. Any
-    ``shared`` from 1 to what the stored prefixes allow is right: a small one
-    makes prefixes short, a large one is harder to reach.
+    The first n-gram that a pair has in common begins a run of both; if it stands
+    behind ``size - overlap`` others of either set, too few are left.
     """
-    p, q = F.lit(NUMERATOR), F.lit(NUMERATOR + DENOMINATOR)
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    overlap = F.ceil(p * (x + y) / q)
-    most = overlap - F.ceil(p * F.greatest(x, y) / F.lit(DENOMINATOR)) + 1
-    return overlap, 1 + F.floor((most - 1) * F.lit(PAIR_PREFIX))
-
-
-def within_prefixes(a: str, b: str, a_place: str, b_place: str):
-    """Positional filter: a run that begins behind either pair prefix proves nothing; if the sets are similar, others do."""
-    overlap, shared = required(a, b)
-    return (F.col(a_place) < F.col(a) - overlap + shared) & (F.col(b_place) < F.col(b) - overlap + shared)
+    overlap = F.ceil(F.lit(NUMERATOR) * (x + y) / F.lit(NUMERATOR + DENOMINATOR))
+    return (F.col(a_place) <= x - overlap) & (F.col(b_place) <= y - overlap)
 
 
 def runs_of(shared: DataFrame) -> DataFrame:
@@ -288,16 +275,19 @@ def runs_of(shared: DataFrame) -> DataFrame:
     return shared.join(names, "gram").groupBy("run", "class", "size").agg(F.count(F.lit(1)).alias("weight"), F.min("place").alias("place"))
 
 
-def star_pairs(runs: DataFrame, groups: DataFrame, tried: DataFrame | None) -> DataFrame:
+def star_pairs(runs: DataFrame, groups: DataFrame, tried: DataFrame | None, k: int) -> DataFrame:
     """For each class at most one pair that is worth verifying and was not tried.
 
-    In a run, in order of size, a class's partners are the first of the run and
-    the one before it, if the lengths allow; of its partners the one with which it
-    shares most is taken, if that is enough. The window holds two rows, not the run.
+    A run is cut into bands of similar size, and each band is put in a random
+    order, new in round ``k``, as are the cuts. There, a class's partners are the
+    first one and the one before it; of its partners, the one with which it shares
+    most is taken, if that is enough. The order is the same in all runs, so that
+    members of a family meet in many of them. The window holds two rows, not the run.
     """
-    run = Window.partitionBy("run").orderBy("size", "class")
+    size = F.floor(F.log(F.col("size")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + F.lit(k * GOLDEN))
+    run = Window.partitionBy("run", "band").orderBy(F.xxhash64("class", F.lit(k)), "class")
     row = F.struct("class", "size", "group")
-    rows = runs.join(groups, "class")
+    rows = runs.join(groups, "class").withColumn("band", size)
     seen = rows.select("class", "size", "group", "weight", F.first(row).over(run).alias("a"), F.lag(row).over(run).alias("b"))
     found = []
     for name in ("a", "b"):
@@ -331,10 +321,7 @@ def all_pairs(runs: DataFrame, groups: DataFrame) -> DataFrame:
         & within_prefixes("a_size", "b_size", "a_place", "b_place")
         & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
     )
-    common = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
-        F.sum("weight").alias("n"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size")
-    )
-    return common.where(F.col("n") >= required("a_size", "b_size")[1]).select("x", "y", "n")
+    return met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("weight").alias("n"))
 
 
 def with_swapped(tried: DataFrame | None, pairs: DataFrame) -> DataFrame:
@@ -342,11 +329,13 @@ def with_swapped(tried: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return both if tried is None else tried.unionByName(both)
 
 
-def grouped(links: DataFrame, shared_classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """class, group for all classes that share anything."""
-    forest = components(links, scratch, name).select(F.col("node").alias("class"), F.col("parent").alias("group"))
-    groups = shared_classes.join(forest, "class", "left").select("class", F.coalesce("group", "class").alias("group"))
-    return scratch.table(groups, f"{name}-groups")
+def regrouped(found: DataFrame, groups: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """class, group, with the groups that the links found connect as one."""
+    ends = found.join(groups.select(F.col("class").alias("x"), F.col("group").alias("a")), "x")
+    ends = ends.join(groups.select(F.col("class").alias("y"), F.col("group").alias("b")), "y").where("a != b")
+    tops = components(ends.select("a", "b"), scratch, name).select(F.col("node").alias("group"), F.col("parent").alias("top"))
+    joined = groups.join(tops, "group", "left").select("class", F.coalesce("top", "group").alias("group"))
+    return scratch.table(joined, f"{name}-groups")
 
 
 def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -377,15 +366,14 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
     runs = scratch.table(runs_of(shared), "runs")
     sharing = scratch.table(runs.select("class").distinct(), "sharing")
 
-    links, groups, tried = None, sharing.select("class", F.col("class").alias("group")), None
+    groups, tried = sharing.select("class", F.col("class").alias("group")), None
     for k in range(star_rounds):
-        pairs = scratch.table(star_pairs(runs, groups, tried), f"star-{k}")
+        pairs = scratch.table(star_pairs(runs, groups, tried, k), f"star-{k}")
         tried = with_swapped(tried, pairs)
         found = verified(pairs, texts, classes, scratch, f"star-{k}-links", n)
-        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
-        groups = grouped(links, sharing, scratch, f"round-{k}")
+        groups = regrouped(found, groups, scratch, f"round-{k}")
     each, k = FIRST_EACH, 0
     while True:
         left = scratch.table(all_pairs(runs, groups).join(tried, ["x", "y"], "left_anti"), f"left-{k}")
@@ -395,8 +383,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
         pairs = scratch.table(left.withColumn("nth", nth).where(F.col("nth") <= each).select("x", "y"), f"rest-{k}")
         tried = with_swapped(tried, pairs)
         found = verified(pairs, texts, classes, scratch, f"rest-{k}-links", n)
-        links = links.unionByName(found)
-        groups = grouped(links, sharing, scratch, f"rest-{k}")
+        groups = regrouped(found, groups, scratch, f"rest-{k}")
         each, k = each * MORE_EACH, k + 1
     scratch.drop("shared", "runs")
 
