@@ -1,168 +1,120 @@
-"""Near-duplicate vectors by sorted projection passes (operator 3).
-
-Equal vectors of a label are one class. In each pass the classes are put in the
-order of their label and of a key of concatenated sign hashes (on random
-directions, drawn anew), and each is compared with the ``window`` classes behind
-it. Pairs found in any pass are united. Windows bound the work of a pass, not the
-result of a group: the members of each group found are then compared with one
-another in blocks, which counts all links within the group, also those that no
-window held.
+"""Near-duplicate vectors, every pair of a label compared (operator 3).
+
+Equal vectors of a label are one class. The classes of a label and a length are
+dealt to blocks by hash, and each pair of blocks (and each block with itself) is
+compared whole, so no link is missed, however near to the threshold or dense a
+label is. A task holds two blocks, whose size is bounded, and compares them tile by
+tile. It gives, per class, the number of its links there, and a spanning forest of
+them. The work grows with the square of a label's classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from editpulse.llm.common import Scratch, partitions, two_hashes
+from editpulse.llm.common import Scratch, two_hashes
 from editpulse.llm.components import components, roots
 from editpulse.session import configure
 
-THRESHOLD, PASSES, BITS, WINDOW = 0.93, 12, 32, 64
-#: Rows of a block of the sorted order, and of a block of a group.
-BLOCK, GROUP_BLOCK = 512, 256
-
-
-def directions(seed: int, dim: int, passes: int, bits: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
+THRESHOLD = 0.93
+#: The side of a tile: so many classes are compared with as many at a time.
+WINDOW = 1024
+#: A label has blocks of at least LEAST classes, FEW blocks if they are enough, and no block of more than about MOST numbers.
+LEAST, FEW, MOST = 256, 8, 1 << 21
+LINKED = "class_id long, parent long, links long"
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as unit rows in double precision."""
-    rows = np.array(column.to_pylist(), dtype=np.float64)
+    rows = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    rows = rows.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     rows /= np.abs(rows).max(axis=1, keepdims=True)  # so that no square overflows
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def sign_keys(batches: Iterator[pa.RecordBatch], seed: int, passes: int, bits: int) -> Iterator[pa.RecordBatch]:
-    names = ["class_id", "label", "dim", "pass", "key"]
-    weights = np.left_shift(np.int64(1), np.arange(bits - 1, -1, -1, dtype=np.int64))
-    for batch in batches:
-        ids, labels = batch.column("class_id").to_numpy(), batch.column("label").to_numpy()
-        dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            signs = matrix(batch.column("embedding").take(pa.array(at))) @ directions(seed, int(dim), passes, bits) > 0
-            keys = signs.reshape(len(at), passes, bits).astype(np.int64) @ weights
-            columns = [
-                np.repeat(ids[at], passes), np.repeat(labels[at], passes), np.repeat(dims[at], passes),
-                np.tile(np.arange(passes, dtype=np.int32), len(at)), keys.ravel(),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-
-def neighbours(rows: pa.Table, window: int, threshold: float) -> pa.Table:
-    """Links of a block of the sorted order, as a spanning forest of them."""
-    rows = rows.sort_by("rank")
-    unit = matrix(rows["embedding"]) if rows.num_rows else np.zeros((0, 0))
-    label, step, dim = (rows[c].to_numpy() for c in ("label", "pass", "dim"))
-    ids, own = rows["class_id"].to_numpy(), rows["own"].to_numpy()
-    a, b = [], []
-    for d in range(1, min(window, len(ids) - 1) + 1):
-        same = (label[:-d] == label[d:]) & (step[:-d] == step[d:]) & (dim[:-d] == dim[d:]) & own[:-d]
-        at = np.flatnonzero(same)
-        at = at[np.einsum("ij,ij->i", unit[at], unit[at + d]) >= threshold]
-        a.extend(ids[at].tolist())
-        b.extend(ids[at + d].tolist())
-    tree = [(x, p) for x, p in roots(a, b).items() if x != p]
-    nodes, parents = zip(*tree) if tree else ((), ())
-    return pa.table({"node": pa.array(nodes, pa.int64()), "parent": pa.array(parents, pa.int64())})
-
-
-def same_dims(rows: pa.Table) -> Iterator[pa.Table]:
-    dims = rows["dim"].to_numpy()
-    for dim in np.unique(dims):
-        yield rows.filter(pa.array(dims == dim))
-
-
-def count_links(rows: pa.Table, threshold: float) -> pa.Table:
-    """Of two blocks of a group (or one with itself): how many vectors each class is linked to in the other."""
-    first = rows.filter(rows["_side"].to_numpy() == 0)
-    second = rows.filter(rows["_side"].to_numpy() == 1)
-    ids, counts = [], []
-    if first.num_rows:
-        x, n = matrix(first["embedding"]), first["copies"].to_numpy()
-        if rows["_i"][0].as_py() == rows["_j"][0].as_py():
-            linked = x @ x.T >= threshold
-            np.fill_diagonal(linked, False)
-            ids, counts = [first["class_id"].to_numpy()], [linked @ n]
-        elif second.num_rows:
-            y, m = matrix(second["embedding"]), second["copies"].to_numpy()
-            linked = x @ y.T >= threshold
-            ids = [first["class_id"].to_numpy(), second["class_id"].to_numpy()]
-            counts = [linked @ m, linked.T @ n]
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.table({"class_id": pa.array(join(ids), pa.int64()), "links": pa.array(join(counts), pa.int64())})
-
-
-def sorted_places(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """``keys`` with ``rank``, the place in the order of pass, label, length, key and class."""
-    order = ["pass", "label", "dim", "key", "class_id"]
-    spread = keys.repartitionByRange(partitions(scratch.spark), *order).sortWithinPartitions(*order)
-    placed = scratch.table(spread.withColumn("_at", F.monotonically_increasing_id()), "sorted")
-    part, place = F.call_function("shiftright", "_at", F.lit(33)), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("_part", part).withColumn("_place", place)
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition of the sort
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(sizes), "_part").select("class_id", "label", "dim", "pass", (F.col("_before") + F.col("_place")).alias("rank"))
-
-
-def window_links(vectors: DataFrame, scratch: Scratch, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
-    keys = vectors.select("class_id", "label", "dim", "embedding").mapInArrow(
-        partial(sign_keys, seed=seed, passes=passes, bits=bits), "class_id long, label int, dim int, pass int, key long"
-    )
-    ranked = sorted_places(keys, scratch)
-    block = F.call_function("div", F.col("rank"), F.lit(BLOCK))
-    # The first rows of a block are also seen by the block before, whose last rows reach into it.
-    seen = F.when(
-        (F.col("rank") % BLOCK < window) & (block > 0),
-        F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
-    ).otherwise(F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))
-    dealt = ranked.select("class_id", "label", "dim", "pass", "rank", F.inline(seen))
-    dealt = dealt.join(vectors.select("class_id", "embedding"), "class_id")
-
-    def linked(rows: pa.Table) -> pa.Table:
-        found = [neighbours(t, window, threshold) for t in same_dims(rows)]
-        return pa.concat_tables(found)
-
-    return scratch.table(dealt.groupBy("block").applyInArrow(linked, "node long, parent long").distinct(), "links")
-
-
-def link_counts(vectors: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """class_id, links: vectors of other classes of the group that are linked."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    members = groups.join(sizes, "component").join(vectors.select("class_id", "embedding", "copies"), "class_id")
-    blocks = F.call_function("div", F.col("_size") - 1, F.lit(GROUP_BLOCK)) + 1
-    members = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("class_id"), F.col("_blocks")))
+def linked_tile(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y are linked: in single precision, and in double what that leaves open."""
+    margin = (x.shape[1] + 8) * 2.0**-23  # no sum of products of unit rows is further off
+    near = x32 @ y32.T
+    linked = near >= threshold - margin
+    if linked.any():
+        a, b = np.nonzero(linked & (near < threshold + margin))
+        if 16 * len(a) > linked.size:
+            return x @ y.T >= threshold
+        linked[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+    return linked
+
+
+def united(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Group numbers (each the place of a member) after the pairs (a, b) of groups are one."""
+    tops = roots(a.tolist(), b.tolist())
+    table = np.arange(len(group))
+    table[list(tops)] = list(tops.values())
+    return table[group]
+
+
+def block_links(rows: pa.Table, threshold: float, window: int) -> pa.Table:
+    """Of two blocks of a label (or one with itself): each linked class, the first of its group here, its number of links."""
+    rows = rows.sort_by("_side")
+    alone = rows["_i"][0].as_py() == rows["_j"][0].as_py()
+    unit, ids, copies = matrix(rows["embedding"]), rows["class_id"].to_numpy(), rows["copies"].to_numpy().astype(np.float64)
+    single, n = unit.astype(np.float32), rows.num_rows
+    firsts = n if alone else int((rows["_side"].to_numpy() == 0).sum())
+    group, links = np.arange(n), np.zeros(n)  # counts stay whole far beyond the rows of any table
+    for a in range(0, firsts, window):
+        x = slice(a, min(a + window, firsts))
+        for b in range(a if alone else firsts, n, window):
+            y = slice(b, min(b + window, n))
+            linked = linked_tile(unit[x], unit[y], single[x], single[y], threshold)
+            if alone and a == b:
+                np.fill_diagonal(linked, False)
+            if not linked.any():
+                continue
+            weights = linked.astype(np.float64)
+            links[x] += weights @ copies[y]
+            if not (alone and a == b):
+                links[y] += copies[x] @ weights
+            while True:  # one pair of each row at a time, until no pair is in two groups
+                apart = linked & (group[x][:, None] != group[y][None, :])
+                at = np.flatnonzero(apart.any(axis=1))
+                if not len(at):
+                    break
+                group = united(group, group[a + at], group[b + apart[at].argmax(axis=1)])
+    at = np.flatnonzero(links)
+    return pa.table({"class_id": ids[at], "parent": ids[group[at]], "links": links[at].astype(np.int64)})
+
+
+def links_of(vectors: DataFrame, threshold: float, window: int) -> DataFrame:
+    """class_id, parent, links: for each pair of blocks, its linked classes."""
+    sizes = vectors.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("_size"))
+    ceil = lambda a, b: F.call_function("div", a - 1, b) + 1
+    most = F.greatest(F.call_function("div", F.lit(MOST), F.col("dim")), F.lit(LEAST))
+    blocks = F.greatest(F.least(ceil(F.col("_size"), F.lit(LEAST)), F.lit(FEW)), ceil(F.col("_size"), most))
+    members = vectors.join(sizes.select("label", "dim", blocks.cast("long").alias("_blocks")), ["label", "dim"])
+    members = members.withColumn("_own", F.pmod(F.xxhash64("class_id"), F.col("_blocks")))
     each = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     pairs = each.select(
-        "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+        "label", "dim", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
         (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "class_id", "embedding", "copies",
     )
 
-    def counted(rows: pa.Table) -> pa.Table:
-        return count_links(rows, threshold)
+    def linked(rows: pa.Table) -> pa.Table:
+        return block_links(rows, threshold, window)
 
-    parts = pairs.groupBy("component", "_i", "_j").applyInArrow(counted, "class_id long, links long")
-    return parts.groupBy("class_id").agg(F.sum("links").alias("links"))
+    return pairs.groupBy("label", "dim", "_i", "_j").applyInArrow(linked, LINKED)
 
 
-def near_duplicates(
-    embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = 3
-) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
     A vector that is null, empty, zero, or holds null or non-finite components,
     or has no label, is linked with nothing, and so are vectors of different
     length. Equal rows are linked with each other. A class goes by its smallest
     vec_id; vec_ids are taken to be unique but for repeated rows, and a null one
-    has no component but through others. Other columns are ignored; an empty
-    table gives no rows.
+    has no component but through others. ``window`` bounds what is compared at a
+    time, not the result. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(embeddings.sparkSession, "embeddings")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -176,18 +128,19 @@ def near_duplicates(
     )
     classes = scratch.table(classes.withColumn("dim", F.size("embedding")), "classes")
     vectors = classes.where("class_id is not null")
-    links = window_links(vectors, scratch, threshold, passes, bits, window, seed)
+    linked = scratch.table(links_of(vectors, threshold, window), "linked")
+    links = linked.where("class_id != parent").select("class_id", "parent")
     children = components(links, scratch).select(F.col("node").alias("class_id"), F.col("parent").alias("component"))
     tops = children.select(F.col("component").alias("class_id"), "component").distinct()
     groups = scratch.table(children.unionByName(tops), "groups")
-    counts = link_counts(vectors, groups, threshold)
+    counts = linked.groupBy("class_id").agg(F.sum("links").alias("links"))
     result = classes.select("_h1", "_h2", "class_id", "copies").join(groups, "class_id", "left").join(counts, "class_id", "left")
     result = scratch.table(result, "result").select(
         "_h1", "_h2",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "class_id").alias("_component"),
     )
-    scratch.drop("sorted", "links")
+    scratch.drop("linked")
     matched = rows.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_h1", F.when(F.col("_good"), a)).withColumn("_h2", F.when(F.col("_good"), b))
     joined = matched.select("vec_id", "_h1", "_h2").join(result, ["_h1", "_h2"], "left")
     component = F.coalesce("_component", "vec_id")

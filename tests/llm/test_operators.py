@@ -141,6 +141,24 @@ def test_vectors_of_a_large_group(spark):
     assert {(r.n_links, r.component_id) for r in found} == {(399, 0)}
 
 
+def test_no_link_of_a_dense_label_is_missed(spark):
+    """In a label of vectors much alike, what is linked is what comparing all pairs gives."""
+    draw = np.random.default_rng(11)
+    shared = draw.standard_normal(64)
+    x = shared + 0.5 * draw.standard_normal((6000, 64))  # mutual cosine about 0.8
+    x[4000:5000] = x[:1000] + 0.39 * draw.standard_normal((1000, 64))  # around the threshold
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    top = roots(*(p.tolist() for p in np.nonzero(near)))
+    assert near.sum() > 1000
+    assert [found[i].n_links for i in range(6000)] == near.sum(axis=1).tolist()
+    assert [found[i].component_id for i in range(6000)] == [top.get(i, i) for i in range(6000)]
+
+
 def test_vectors_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
