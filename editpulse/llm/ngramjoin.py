@@ -14,7 +14,8 @@ ones each class is verified against one partner, the one it shares most prefix
 n-grams with among some of a random order, and what links is one group from then
 on. The last rounds verify, once, every pair of classes that still lie in different
 groups, the likeliest of each class first, until none is left. So the components are
-those of all links; links within a group found already are not counted one by one.
+those of all links. Links are counted afterwards, within the groups: there, all pairs
+of sets are compared, in pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ GOLDEN = 0.618
 FIRST_EACH, MORE_EACH = 8, 16
 #: Pairs of one class verified in one place.
 HUB = 512
+#: A block of a group has about so many classes and n-grams at most; so many n-grams are compared at a time.
+BLOCK, BLOCK_GRAMS, CHUNK = 512, 1 << 19, 4096
 #: The sketch has a fixed size at any size of the corpus: 2**23 counters, in 512 slices; in the end a byte each, on a log scale.
 SKETCH_BITS, SLICE_BITS = 23, 14
 STEPS = 12
@@ -193,8 +196,7 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[out], t) for c, t in zip(columns, types)], names)
 
 
-def as_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    names = ["x", "part", "role", "class"]
+def as_sets(batches: Iterator[pa.RecordBatch], n: int, names: tuple[str, ...] = ("x", "part", "role", "class")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t, n) for t in raw_texts(batch)]
         right = pa.array([class_of(g) == name for g, name in zip(sets, batch.column("class").to_pylist())], pa.bool_())
@@ -248,6 +250,80 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, scratch: Sc
     return scratch.table(sets.mapInArrow(verify, "x long, y long"), name)
 
 
+def links_between(sets: list[np.ndarray], copies: np.ndarray, firsts: int) -> np.ndarray:
+    """For each set the copies of those it is linked with: the first ones with the others, or, if all are first, all with all."""
+    sizes, alone = np.array([len(s) for s in sets]), firsts == len(sets)
+    x, y = slice(0, firsts), slice(0 if alone else firsts, len(sets))
+    links, grams = np.zeros(len(sets), np.int64), np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    same = grams[1:] == grams[:-1]
+    shared = np.append(same, False) | np.insert(same, 0, False)
+    grams, owner = grams[shared], owner[shared]
+    nth = np.cumsum(np.insert(grams[1:] != grams[:-1], 0, False)) if len(grams) else np.zeros(0, np.int64)
+    common = np.zeros((len(sizes[x]), len(sizes[y])))
+    for at in range(0, int(nth[-1]) + 1 if len(nth) else 0, CHUNK):
+        a, b = np.searchsorted(nth, [at, at + CHUNK])
+        held = np.zeros((int(nth[b - 1]) + 1 - at, len(sets)), np.float32)
+        held[nth[a:b] - at, owner[a:b]] = 1
+        common += held[:, x].T @ held[:, y]
+    linked = common >= least_overlap(sizes[x][:, None], sizes[y][None, :])
+    if alone:
+        np.fill_diagonal(linked, False)
+    else:
+        links[y] = copies[x] @ linked
+    links[x] = linked @ copies[y]
+    return links
+
+
+def count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, blocks i and j, side and class; a row for each class and pair of blocks where it has links."""
+    names = ["class", "links"]
+    place, held = None, []
+
+    def found() -> pa.RecordBatch:
+        classes, copies, sides, sets = zip(*held) if held else ((), (), (), ())
+        firsts = sum(side == 0 for side in sides)
+        # Without others there is something to compare only within one block.
+        counts = links_between(list(sets), np.array(copies), firsts) if firsts and (firsts < len(sets) or place[1] == place[2]) else np.zeros(len(sets), np.int64)
+        at = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array([classes[k] for k in at], pa.int64()), pa.array(counts[at], pa.int64())], names)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("group", "i", "j", "side", "class", "copies", "grams")]
+        for group, i, j, side, name, copies, grams in zip(*columns):
+            if place != (group, i, j):
+                yield found()
+                place, held = (group, i, j), []
+            if not held or held[-1][0] != name:  # repeated rows bring a class more than once
+                held.append((name, copies, side, np.frombuffer(grams, np.uint64)))
+    yield found()
+
+
+def link_counts(groups: DataFrame, texts: DataFrame, classes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """class, links: the rows of other classes that a class is linked with; every link lies within a group."""
+    members = groups.join(classes.select("class", "_id", "copies", "size"), "class")
+    ceil = lambda a, b: F.call_function("div", a - 1, F.lit(b)) + 1
+    blocks = F.greatest(ceil(F.count(F.lit(1)), BLOCK), ceil(F.sum("size"), BLOCK_GRAMS)).alias("blocks")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), blocks).where("n > 1").drop("n")
+    asked = scratch.table(members.join(sizes, "group").select("_id", "class", "copies", "group", "blocks"), "counted-asked")
+    asked = F.broadcast(asked) if asked.count() <= SMALL else asked
+    names = ("class", "copies", "group", "blocks")
+    # copies and blocks go along; the class, which as_sets checks, tells texts under one doc_id apart.
+    rows = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text").join(asked, "_id").select(*names, "text")
+    kind = "class long, copies long, group long, blocks long, grams binary"
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    sets = rows.mapInArrow(partial(as_sets, n=n, names=names), kind).withColumn("own", own)
+    each = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select(
+        "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "class", "copies", "grams",
+    )
+    each = each.repartition(partitions(scratch.spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "class")
+    counts = each.mapInArrow(count_links, "class long, links long").groupBy("class").agg(F.sum("links").alias("links"))
+    return scratch.table(counts, "counts")
+
+
 def lengths_allow(a: str, b: str):
     small, large = F.least(a, b).cast("long"), F.greatest(a, b).cast("long")
     return DENOMINATOR * small >= NUMERATOR * large
@@ -338,8 +414,12 @@ def regrouped(found: DataFrame, groups: DataFrame, scratch: Scratch, name: str)
     return scratch.table(joined, f"{name}-groups")
 
 
-def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """doc_id, t1, t2 (hashes of the text), n_shingles, component_id for every row of ``docs``.
+def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_ROUNDS, links: bool = True) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), n_shingles, component_id, and if asked for class, n_links, for every row of ``docs``.
+
+    Rows with equal sets have one ``class`` (null without n-grams), and ``n_links``
+    is the number of other rows that a row is linked with, those of its class
+    among them. So the links are the pairs of classes, each with its rows.
 
     Null texts, empty ones and those without words have no n-grams and are
     linked with nothing. Rows with equal sets are linked; rows that share a
@@ -356,7 +436,8 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
     sketch = spark.sparkContext.broadcast(sketch_of(measured.where("slice is not null")))
     rows = measured.where("slice is null").select("doc_id", "t1", "t2", "n_shingles", "class")
     classes = scratch.table(rows.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id")
+        F.min("doc_id").alias("first_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id"),
+        F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"),
     ), "classes")
 
     prefixes = texts.select("text").mapInArrow(partial(entries, n=n, sketch=sketch), "gram long, class long, size int, place int")
@@ -389,13 +470,22 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
 
     named = classes.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     least = named.groupBy("group").agg(F.min("first_id").alias("least"))
-    ids = scratch.table(named.join(least, "group").select("class", "least"), "ids")
-    joined = rows.join(ids, "class", "left")
-    return joined.select("doc_id", "t1", "t2", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    ids = named.join(least, "group").select("class", "least", "copies")
+    if links:
+        ids = ids.join(link_counts(groups, texts, classes, scratch, n), "class", "left")
+        ids = ids.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
+    joined = rows.join(scratch.table(ids, "ids"), "class", "left")
+    counted = ["class", F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return joined.select("doc_id", "t1", "t2", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *counted)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return similar_documents(documents(spark, sf_dir), links=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole join: components as op5_ngram_join has them, and the links."""
+    return similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class", "n_links")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -403,7 +493,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id stay where their component has no doc_id at all.
     """
-    found = similar_documents(docs)
+    found = similar_documents(docs, links=False)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "t1", "t2")
     a, b = two_hashes(whole())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), a.alias("t1"), b.alias("t2"))

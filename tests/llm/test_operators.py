@@ -260,6 +260,35 @@ def test_ngram_join_of_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == expected_groups(rows)
 
 
+def expected_links(rows):
+    sets = [gram_set(t) for _, t in rows]
+    linked = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 75 * len(x | y)
+    return Counter((i, len(x), sum(linked(x, y) for y in sets) - bool(x)) for (i, _), x in zip(rows, sets))
+
+
+def test_links_of_the_ngram_join(spark, docs, raw, monkeypatch):
+    """Every link counts, also between members of a family that are in one group early, and between blocks."""
+    found = ngramjoin.similar_documents(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in found) == expected_links([(i, t) for i, t, *_ in raw])
+    monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    draw = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(70):
+        copy = list(base)
+        for at in draw.integers(0, 120, 2):
+            copy[at] = f"v{draw.integers(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(i + 100, t) for i, t in rows[:5]]
+    expected = expected_links(rows)
+    assert 0 < sum(n for _, _, n in expected) < 75 * 74  # some pairs of the family are linked, others are not
+    found = ngramjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in found) == expected
+    classes = defaultdict(set)
+    for r in found:
+        classes[r["class"]].add(r.doc_id)
+    assert {frozenset(x) for x in classes.values()} >= {frozenset({i, i + 100}) for i in range(5)}
+
+
 def test_shared_rows_over_batches():
     import pyarrow as pa
 
