@@ -4,10 +4,11 @@ The battery looks at runs of token characters outside the known forms. Each gets
 an encoding from its characters and three tests against a uniform draw from that
 alphabet: chi-squared over equal cells, Wald-Wolfowitz runs about the middle, and
 lag-one serial correlation, combined by Fisher's method. Short strings pass such
-tests easily, so what counts is how often ordinary text does: every document also
-gives one decoy per length class, a stretch of its own words. A candidate's
-p-value is the share of decoys of its class that look as random, and candidates
-are accepted per length class by Benjamini-Hochberg over the whole corpus.
+tests easily, so what counts is how often ordinary text does: the words of
+every document, run together, are cut from end to end into decoys of each length
+class. A candidate's p-value is the share of decoys of its class that look as
+random, and candidates are accepted per length class by Benjamini-Hochberg over the
+whole corpus.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ ANY = f"""(?:{WORDS})["']?\\x20*[:=]|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|[A-Za-z0-
 
 #: Least lengths of the length classes.
 LENGTHS = np.array([20, 24, 32, 48, 64, 96])
+#: Symbols of decoys that are tested at a time.
+PIECE = 1 << 19
 #: Scores are in bins of a quarter of a power of ten, 0 the most random.
 BINS = 64
 DIGITS, CAPITALS, SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,17 +74,17 @@ TABLES["hex"][0][[ord(c) for c in "ABCDEF"]] = np.arange(10, 16)
 
 def normal_tail(z: np.ndarray) -> np.ndarray:
     """P(Z > z)."""
-    return 0.5 * np.array([math.erfc(v / math.sqrt(2)) for v in np.ravel(z)])
+    z = np.ravel(z) / math.sqrt(2)
+    return 0.5 * np.fromiter(map(math.erfc, z.tolist()), np.float64, len(z))
 
 
 def randomness(symbols: np.ndarray, size: int) -> np.ndarray:
     """Combined p-value of each row of symbols (0..size-1) as uniform draws."""
     rows, n = symbols.shape
     cells = max(2, min(size, n // 3))
-    cell = symbols * cells // size
-    share = np.bincount(np.arange(size) * cells // size, minlength=cells) / size
-    counts = np.zeros((rows, cells))
-    np.add.at(counts, (np.arange(rows)[:, None], cell), 1)
+    cell_of = np.arange(size) * cells // size
+    share = np.bincount(cell_of, minlength=cells) / size
+    counts = np.bincount((cell_of[symbols] + cells * np.arange(rows)[:, None]).ravel(), minlength=rows * cells).reshape(rows, cells)
     chi2 = ((counts - n * share) ** 2 / (n * share)).sum(axis=1)
     df = cells - 1
     cube = ((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson-Hilferty
@@ -142,20 +145,21 @@ NOT_TOKEN = re.compile(r"[^A-Za-z0-9+/_-]+")
 
 
 def decoys(texts: list[str]) -> np.ndarray:
-    """Counts (length class, bin): the first words of each document's second half, run together, as base64."""
+    """Counts (length class, bin): the words of each text, run together, cut from its first to its last into base64 of each length.
+
+    What is left at a text's end, shorter than a decoy, gives none.
+    """
     counts = np.zeros((len(LENGTHS), BINS), np.int64)
     table, size = TABLES["base64url"]
     table = table.copy()
     table[[ord("+"), ord("/")]] = 62, 63
-    longest = int(LENGTHS[-1])
-    starts = [max(t.find(" ", len(t) // 2), 0) for t in texts]
     # Runs that are candidates themselves are no ordinary text.
-    stretches = [NOT_TOKEN.sub("", TOKEN.sub(" ", t[at : at + 8 * longest]))[:longest] for t, at in zip(texts, starts)]
+    stretches = [NOT_TOKEN.sub("", TOKEN.sub(" ", t)) for t in texts]
     for k, length in enumerate(LENGTHS.tolist()):
-        enough = [s[:length] for s in stretches if len(s) >= length]
-        if enough:
-            codes = np.frombuffer("".join(enough).encode(), np.uint8).reshape(len(enough), length)
-            counts[k] += np.bincount(bins_of(randomness(table[codes], size)), minlength=BINS)
+        codes = np.frombuffer("".join(s[: len(s) - len(s) % length] for s in stretches).encode(), np.uint8).reshape(-1, length)
+        step = PIECE // length
+        for at in range(0, len(codes), step):
+            counts[k] += np.bincount(bins_of(randomness(table[codes[at : at + step]], size)), minlength=BINS)
     return counts
 
 
@@ -194,7 +198,11 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def thresholds(decoy: dict[tuple[int, int], int], candidate: dict[tuple[int, int], int], false_share: float) -> dict[int, int]:
-    """Per length class the last bin accepted by Benjamini-Hochberg, -1 for none."""
+    """Per length class the last bin accepted by Benjamini-Hochberg, -1 for none.
+
+    No p-value is below 1 / (1 + D) with D decoys of the class, so a class with
+    1 + D < 1 / ``false_share`` accepts nothing: that few cannot show so small a share.
+    """
     accepted = {}
     for k in range(len(LENGTHS)):
         d = np.cumsum([decoy.get((k, b), 0) for b in range(BINS)])
@@ -213,6 +221,9 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
 
     Offsets are code points, ends exclusive; kind is a place in KINDS. Null texts
     are empty and have no spans; null and repeated doc_ids are rows like others.
+    Random strings are reported only where all texts together have words for
+    1 / ``false_share`` - 1 decoys of the length class (99 decoys of 20 characters, or
+    of 96, by default); with less text only the known forms are.
     Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
