@@ -452,6 +452,16 @@ def test_mix(docs, raw):
     assert Counter((r.doc_id, r.copies, r.size) for r in mixing.mix(docs.repartition(2)).collect()) == Counter((r.doc_id, r.copies, r.size) for r in found)
 
 
+def test_mix_is_the_same_with_finer_cells(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(draw.integers(256, 400))), f"s{i % 3}") for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = lambda: {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
+    few = copies()
+    monkeypatch.setattr(mixing, "MANY", 0)
+    assert copies() == few
+
+
 def test_targets(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 30), ("d", 0)], "source string, source_size long")
     found = {r.source: r.target for r in mixing.targets(sources).collect()}
