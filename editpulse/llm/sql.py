@@ -94,10 +94,64 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+
+
+def field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({column} AS VARCHAR))), ':', {column}) END"
+
+
+FIELDS = ", ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# Crc32 of a decimal number, bit by bit; both shifts and the polynomial are those of the standard.
+CRC_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+OP12 = f"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, 0 AS i, 4294967295::BIGINT AS c, encode(CAST(doc_id AS VARCHAR)) AS s FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN i % 9 = 0 THEN xor(c, ascii(substr(CAST(doc_id AS VARCHAR), i // 9 + 1, 1))::BIGINT) ELSE {CRC_BIT} END, s
+  FROM crc WHERE i < 9 * octet_length(s)
+), chosen AS (SELECT doc_id FROM crc WHERE i = 9 * octet_length(s) AND xor(c, 4294967295) % 2 = 0
+), d AS (
+  SELECT doc_id, source, sha256(concat({FIELDS}, {field("text")})) AS leaf,
+    sha256(concat({FIELDS}, {field("replace(text, chr(10), '')")})) AS other, doc_id IN (SELECT doc_id FROM chosen) AS bad
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) AS s FROM d
+), tree AS (
+  SELECT s, 0 AS lvl, pos, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT s, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY s, lvl, pos // 3, n
+), subroots AS (SELECT s, node AS subroot, lvl AS height FROM tree WHERE n = 1
+), above AS (
+  SELECT 0 AS lvl, s - 1 AS pos, (SELECT count(*) FROM subroots) AS n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY lvl, pos // 3, n
+), root AS (SELECT node AS root, lvl AS height FROM above WHERE n = 1
+), path AS (
+  SELECT l.s, l.pos, t.lvl, t.pos AS place, t.node, t.pos = l.pos // (3 ** t.lvl)::BIGINT AS own
+  FROM leaves l JOIN tree t ON t.s = l.s AND t.n > 1 AND t.pos // 3 = l.pos // (3 ** (t.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT l.s, l.pos, r.height + a.lvl, a.pos, a.node, a.pos = (l.s - 1) // (3 ** a.lvl)::BIGINT
+  FROM leaves l JOIN subroots r ON r.s = l.s JOIN above a ON a.n > 1 AND a.pos // 3 = (l.s - 1) // (3 ** (a.lvl + 1))::BIGINT
+), steps AS (
+  SELECT s, pos, lvl, coalesce(string_agg(node, '' ORDER BY place) FILTER (WHERE place < mine), '') AS l,
+    coalesce(string_agg(node, '' ORDER BY place) FILTER (WHERE place > mine), '') AS r
+  FROM (SELECT *, max(place) FILTER (WHERE own) OVER (PARTITION BY s, pos, lvl) AS mine FROM path) GROUP BY s, pos, lvl
+), proofs AS (SELECT s, pos, string_agg(concat(l, r), '' ORDER BY lvl) AS hashes FROM steps GROUP BY s, pos
+), folded AS (
+  SELECT s, pos, 0 AS lvl, CASE WHEN bad THEN other ELSE leaf END AS node FROM leaves
+  UNION ALL
+  SELECT f.s, f.pos, f.lvl + 1, sha256(concat(p.l, f.node, p.r)) FROM folded f JOIN steps p ON p.s = f.s AND p.pos = f.pos AND p.lvl = f.lvl
+), ends AS (SELECT s, pos, arg_max(node, lvl) AS folded_root FROM folded GROUP BY s, pos)
+SELECT l.doc_id, l.leaf, u.subroot, root.root, sha256(coalesce(p.hashes, '')) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM leaves l JOIN subroots u ON u.s = l.s JOIN ends e ON e.s = l.s AND e.pos = l.pos LEFT JOIN proofs p ON p.s = l.s AND p.pos = l.pos, root
+"""
+
 ORACLE = {
     "op3_near_duplicate_vectors": OP3,
     "op5_ngram_join": OP5,
     "op6_exact_duplicates": OP6,
     "op8_mix_sources": OP8,
     "op10_line_dedup": OP10,
+    "op12_merkle_manifest": OP12,
 }

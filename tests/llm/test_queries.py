@@ -13,7 +13,7 @@ SF = contract.SMALLEST
 def test_all_are_registered():
     assert set(registry.QUERIES) <= set(contract.queries())
     assert set(registry.SQL) <= set(registry.QUERIES)
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
