@@ -179,8 +179,9 @@ def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "merkle")
     tampered = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0, F.lit(False)) & F.col("text").contains("\n")
-    leaves = docs.select(
-        "doc_id", "source", leaf_of(F.col("text")).alias("leaf"), F.when(tampered, leaf_of(F.translate("text", "\n", ""))).alias("tampered"),
+    cut = docs.select("doc_id", "source", "lang", "n_chars", "text", F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).alias("_cut"))
+    leaves = cut.select(
+        "doc_id", "source", leaf_of(F.col("text")).alias("leaf"), F.when(F.col("_cut").isNotNull(), leaf_of(F.col("_cut"))).alias("tampered"),
         F.monotonically_increasing_id().alias("_row"),  # deals equal rows to several partitions
     )
     leaves = scratch.table(leaves, "hashed")
