@@ -30,8 +30,10 @@ BINS = 256
 #: Factor of the phrase hash (a prime), and the multipliers of its final mixing.
 PRIME, MIX_1, MIX_2 = 1_099_511_628_211, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 MASK = (1 << 64) - 1
+#: Digests are bytes until the result is returned; written as text they would take twice the room.
+BINARY = ("edited_sha256", "fingerprint", "edited_fingerprint")
 COLUMNS = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 )
 ROW, LAST, FIRST = 0, 1, 2
 
@@ -67,12 +69,12 @@ class Parser:
         while len(self.tree) >= size:
             self.tree.popitem()
 
-    def fingerprint(self) -> str:
+    def fingerprint(self) -> bytes:
         return sketch(np.array(self.hashes[1:], np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> str:
-    """The least hash of each bin, as 8 bits in hexadecimal."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """8 bits of the least hash of each bin."""
     x = hashes ^ (hashes >> np.uint64(33))
     x = x * np.uint64(MIX_1)
     x ^= x >> np.uint64(33)
@@ -83,12 +85,12 @@ def sketch(hashes: np.ndarray) -> str:
     least, first = np.unique(bins, return_index=True)
     out = np.zeros(BINS, np.uint8)
     out[least] = 1 + (x[first] & np.uint64(0xFFFFFFFF)) % np.uint64(255)
-    return out.tobytes().hex()
+    return out.tobytes()
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """Estimated Jaccard likeness of two phrase sets; 1 of two empty ones."""
-    x, y = (np.frombuffer(bytes.fromhex(s), np.uint8) for s in (a, b))
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
     filled = (x != 0) | (y != 0)
     if not filled.any():
         return 1.0
@@ -96,13 +98,13 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (share - 1 / 255) / (1 - 1 / 255))
 
 
-def fingerprint(text: str) -> str:
+def fingerprint(text: str) -> bytes:
     parser = Parser()
     parser.feed(text.encode())
     return parser.fingerprint()
 
 
-def compared(doc_id, text: str, following: str, own: str | None = None) -> tuple:
+def compared(doc_id, text: str, following: str, own: bytes | None = None) -> tuple:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited of a document and the text that comes next.
 
     Both fingerprints come from one parse of the common beginning; one that is known is not made again.
@@ -118,12 +120,12 @@ def compared(doc_id, text: str, following: str, own: str | None = None) -> tuple
         parser.go_back(mark)
         parser.feed(tail)
         own = parser.fingerprint()
-    return doc_id, len(text), hashlib.sha256(head + other).hexdigest(), own, edited, likeness(own, edited)
+    return doc_id, len(text), hashlib.sha256(head + other).digest(), own, edited, likeness(own, edited)
 
 
 FIELDS = [
     ("kind", pa.int32()), ("part", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()),
-    ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ]
 
@@ -197,7 +199,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     last = found.where(F.col("kind") == LAST).select("part", "doc_id", "text", "fingerprint").join(parts, "part").join(heads, "next")
     result = found.where(F.col("kind") == ROW)
     names = [n for n, _ in FIELDS[3:]]
-    return result.select(*names).unionByName(last.drop("next", "part").mapInArrow(ends, COLUMNS))
+    result = result.select(*names).unionByName(last.drop("next", "part").mapInArrow(ends, COLUMNS))
+    return result.withColumns({c: F.lower(F.hex(c)) for c in BINARY})
 
 
 def op11_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def expected_fingerprints(rows):
         new = edited(text, following)
         prints = [fingerprint.fingerprint(t) for t in (text, new, following)]
         out.append((
-            i, len(text), hashlib.sha256(new.encode()).hexdigest(), prints[0], prints[1],
+            i, len(text), hashlib.sha256(new.encode()).hexdigest(), prints[0].hex(), prints[1].hex(),
             fingerprint.likeness(prints[0], prints[1]), fingerprint.likeness(prints[0], prints[2]),
         ))
     return out
@@ -95,7 +95,7 @@ def test_fingerprints(spark, raw, parts):
 def test_fingerprints_of_repeated_rows_and_nulls(docs, raw):
     found = fingerprint.fingerprints(docs).collect()
     assert Counter((r.doc_id, r.n_chars, r.fingerprint) for r in found) == Counter(
-        (i, len(t or ""), fingerprint.fingerprint(t or "")) for i, t, *_ in raw
+        (i, len(t or ""), fingerprint.fingerprint(t or "").hex()) for i, t, *_ in raw
     )
     assert [f.dataType.simpleString() for f in fingerprint.fingerprints(docs).schema.fields][:3] == ["bigint", "bigint", "string"]
     again = fingerprint.fingerprints(docs.repartition(2)).collect()
