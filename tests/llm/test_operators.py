@@ -328,8 +328,9 @@ def test_shared_rows_over_batches():
     for size in (1, 2, 3, 10):
         batches = [
             pa.RecordBatch.from_arrays([
-                pa.array(grams[a : a + size], pa.int64()), pa.array(classes[a : a + size], pa.int64()), pa.array([7] * len(grams[a : a + size]), pa.int32())
-            ], ["gram", "class", "size"])
+                pa.array(grams[a : a + size], pa.int64()), pa.array(classes[a : a + size], pa.int64()), pa.array([7] * len(grams[a : a + size]), pa.int32()),
+                pa.array(range(a, a + len(grams[a : a + size])), pa.int32()),
+            ], ["gram", "class", "size", "place"])
             for a in range(0, 10, size)
         ]
         out = [(r["gram"], r["class"]) for b in ngramjoin.shared_only(iter(batches)) for r in b.to_pylist()]
