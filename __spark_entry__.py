@@ -24,11 +24,12 @@ from editpulse.plans import serving, speed_layer
 from editpulse.plans.batch_layer import run_batch_layer
 from editpulse.session import configure, run_folder
 from editpulse.sources import (
-    read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, union_parts,
+    StoredBaseline, read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, store_baseline,
+    union_parts,
 )
 from editpulse.sources.event_log import edits_from_log, raw_changes
 from editpulse.sources.tables import create_event_table
-from editpulse.streaming import ingest_stream, land_stream, metrics_stream, store_stream, trending_stream
+from editpulse.streaming import ingest_stream, land_stream, live_stream, metrics_stream, read_ticks, store_stream, trending_stream
 from editpulse.streaming.trending import sliding_count_stream
 
 DAY = 86400
@@ -413,6 +414,48 @@ def stream_snapshot(spark, sf_dir):
     return latest.select("window_seconds", "total_events_in_window", "distinct_articles_in_window")
 
 
+def sliced_stream(spark: SparkSession, sf_dir: str, name: str, slices: int, close: bool) -> tuple[DataFrame, str]:
+    """The edits in order of time, as so many files of equal duration, one a trigger."""
+    events = zoned(edits(spark, sf_dir)).select("timestamp", "title")
+    first, last = events.agg(F.unix_micros(F.min("timestamp")), F.unix_micros(F.max("timestamp"))).first()
+    share = F.call_function("div", (F.unix_micros("timestamp") - first) * slices, F.lit(last - first))
+    sliced = events.withColumn("slice", F.least(share, F.lit(slices - 1)))
+    root = run_folder(spark, name)
+    parts = [sliced.where(F.col("slice") == i).drop("slice") for i in range(slices)]
+    for part in parts + ([closing(events).where("title = 'end of stream'")] if close else []):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return read_stream(spark, f"{root}/in", events.schema, per_trigger=1), root
+
+
+def stream_all_windows(spark, sf_dir):
+    stream, root = sliced_stream(spark, sf_dir, "all-windows", 4, True)
+    settings = replace(DEFAULTS, window_seconds=1800, slide_seconds=600, watermark_delay="10 minutes")
+    live_stream(stream, f"{root}/out", f"{root}/checkpoint", None, settings, seconds=None).awaitTermination()
+    documents = read_snapshots(spark, f"{root}/out")
+    return plain(documents.select("window_start", "window_end", "total_events_in_window", "distinct_articles_in_window"))
+
+
+def stream_current_window(spark, sf_dir):
+    stream, root = sliced_stream(spark, sf_dir, "current-window", 5, False)
+    live_stream(stream, f"{root}/out", f"{root}/checkpoint", None, STREAM_SETTINGS, trend.COUNT, seconds=None, keep=100).awaitTermination()
+    documents = read_ticks(spark, f"{root}/out")
+    totals = ["window_start", "window_end", "total_events_in_window", "distinct_articles_in_window"]
+    rows = documents.select(*totals, F.posexplode_outer("trending_articles").alias("at", "row"))
+    # A tick without data, when only the watermark moves, repeats the one before.
+    return plain(rows.select(*totals, "row.title", "row.recent_edits", (F.col("at") + 1).alias("rank")).distinct())
+
+
+def trending_partial_baseline(spark, sf_dir):
+    """The ranking against a stored baseline that lacks a third of the titles and is probed for the candidates."""
+    events = edits(spark, sf_dir)
+    known = past_baseline(events).where(F.substring_index("title", "_", -1).cast("int") % 3 != 0)
+    path = run_folder(spark, "stored-baseline")
+    store_baseline(known, path, rows_per_bucket=16)
+    counts = speed_layer.window_counts(events, DAY)
+    candidates = counts.where(F.col("recent_edits") >= DEFAULTS.min_edits).select("title")
+    return trend.trending(counts, StoredBaseline(spark, path)(candidates), DAY)
+
+
 def event_table(spark: SparkSession, sf_dir: str) -> str:
     """Store the edits as a stream, in two runs; the name of the table over them."""
     events = zoned(edits(spark, sf_dir))
@@ -535,6 +578,7 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trending_rate": trending_rate,
         "trending_rate_all": trending_rate_all,
         "trending_no_baseline": trending_no_baseline,
+        "trending_partial_baseline": trending_partial_baseline,
         "trending_count": trending_count,
         "trending_ratio": trending_ratio,
         "scored_articles": scored_articles,
@@ -577,6 +621,8 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_window_counts": stream_window_counts,
         "stream_trending": stream_trending,
         "stream_snapshot": stream_snapshot,
+        "stream_all_windows": stream_all_windows,
+        "stream_current_window": stream_current_window,
         "stream_store": stream_store,
         "sql_event_table": sql_event_table,
         "stream_ingest": stream_ingest,

@@ -1,9 +1,10 @@
 """Writers. Every streaming write is keyed by its batch id, so a retry replaces it."""
 
+from .commits import CommitLog
 from .files import (
     append_metrics, overwrite_table, publish_snapshots, rewrite_landing, write_batch, write_rejects,
 )
 
 __all__ = [
-    "append_metrics", "overwrite_table", "publish_snapshots", "rewrite_landing", "write_batch", "write_rejects",
+    "CommitLog", "append_metrics", "overwrite_table", "publish_snapshots", "rewrite_landing", "write_batch", "write_rejects",
 ]

@@ -57,6 +57,40 @@ counts AS (
   FROM panes, range(4) r(i) GROUP BY 1, 2, 3
 )"""
 
+# Windows of half an hour every ten minutes, up to ten minutes before the record that ends the stream.
+TEN_MINUTES = """
+panes AS (SELECT time_bucket(INTERVAL 10 MINUTE, "timestamp", TIMESTAMP '1970-01-01') AS pane, title, count(*) AS edits FROM edits GROUP BY 1, 2),
+sums AS (
+  SELECT pane + i * INTERVAL 10 MINUTE AS window_end, CAST(sum(edits) AS BIGINT) AS n, count(DISTINCT title) AS articles
+  FROM panes, range(1, 4) r(i) GROUP BY 1
+),
+bounds AS (
+  SELECT (SELECT min(pane) FROM panes) + INTERVAL 10 MINUTE AS first, time_bucket(INTERVAL 10 MINUTE,
+    (SELECT max("timestamp") FROM edits) + INTERVAL 3 DAY - INTERVAL 10 MINUTE, TIMESTAMP '1970-01-01') AS last
+),
+grid AS (SELECT unnest(generate_series(first, last, INTERVAL 10 MINUTE)) AS window_end FROM bounds)"""
+
+# After each fifth of the time: the day that ends with the six-hour pane of the newest edit.
+TICKS = """
+bounds AS (SELECT epoch_us(min("timestamp")) AS first, epoch_us(max("timestamp")) AS last FROM edits),
+sliced AS (SELECT e.*, least((epoch_us("timestamp") - first) * 5 // (last - first), 4) AS slice FROM edits e, bounds),
+ticks AS (
+  SELECT t.tick, time_bucket(INTERVAL 6 HOUR, max(s."timestamp"), TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end
+  FROM range(5) t(tick) JOIN sliced s ON s.slice <= t.tick GROUP BY t.tick
+),
+counts AS (
+  SELECT t.tick, t.window_end, s.title, count(*) AS recent_edits FROM ticks t JOIN sliced s
+  ON s.slice <= t.tick AND s."timestamp" >= t.window_end - INTERVAL 1 DAY AND s."timestamp" < t.window_end GROUP BY ALL
+),
+totals AS (
+  SELECT tick, window_end, CAST(sum(recent_edits) AS BIGINT) AS total_events_in_window, count(*) AS distinct_articles_in_window
+  FROM counts GROUP BY ALL
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY tick ORDER BY recent_edits DESC, title) AS INTEGER) AS rank
+  FROM counts WHERE recent_edits > 3 QUALIFY rank <= 10
+)"""
+
 RATIO = """
 hours AS (SELECT title, date_trunc('hour', "timestamp") AS edit_hour, count(*) AS n FROM edits SEMI JOIN counts USING (title) GROUP BY 1, 2),
 baseline AS (SELECT title, round(sum(n)::DOUBLE / greatest(count(edit_hour), 1), 4) AS b FROM hours GROUP BY title),
@@ -225,6 +259,10 @@ ORACLE: dict[str, str] = {
         _TOP_TEN, RECENT, _NO_BASELINE, SCORED.format(carried=""),
         f"ranked AS ({_RANKED.format(order=RATE_ORDER, source='scored WHERE recent_edits >= 3')})",
     ),
+    "trending_partial_baseline": _all(
+        _TOP_TEN, RECENT, PAST.replace("GROUP BY title)", "GROUP BY title HAVING CAST(split_part(title, '_', 2) AS INTEGER) % 3 <> 0)"),
+        SCORED.format(carried=""), f"ranked AS ({_RANKED.format(order=RATE_ORDER, source='scored WHERE recent_edits >= 3')})",
+    ),
     "trending_count": _all(
         """SELECT title, recent_edits, recent_edits::DOUBLE AS trend_score,
  CAST(row_number() OVER (ORDER BY recent_edits DESC, title) AS INTEGER) AS rank
@@ -357,6 +395,16 @@ SELECT *, (SELECT min_by(runtime_seconds, executors) FROM runs) / runtime_second
  count(*) AS distinct_articles_in_window FROM counts WHERE window_end = (SELECT max(window_end) FROM counts)""",
         SLIDING,
     ),
+    "stream_all_windows": _all(
+        """SELECT window_end - INTERVAL 30 MINUTE AS window_start, window_end, coalesce(n, 0) AS total_events_in_window,
+ coalesce(articles, 0) AS distinct_articles_in_window FROM grid LEFT JOIN sums USING (window_end)""",
+        TEN_MINUTES,
+    ),
+    "stream_current_window": _all(
+        """SELECT DISTINCT window_end - INTERVAL 1 DAY AS window_start, window_end, total_events_in_window,
+ distinct_articles_in_window, title, recent_edits, rank FROM totals LEFT JOIN ranked USING (tick, window_end)""",
+        TICKS,
+    ),
     "sql_event_table": _all(
         """SELECT CAST("timestamp" AS DATE) AS event_date, title, count(*) AS edits FROM edits WHERE namespace = 0 GROUP BY ALL"""
     ),
