@@ -24,7 +24,7 @@ from editpulse.plans import serving, speed_layer
 from editpulse.plans.batch_layer import run_batch_layer
 from editpulse.session import configure, run_folder
 from editpulse.sources import (
-    StoredBaseline, read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, store_baseline,
+    StoredBaseline, read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, split_large, store_baseline,
     union_parts,
 )
 from editpulse.sources.event_log import edits_from_log, raw_changes
@@ -160,6 +160,17 @@ def landing_split(spark, sf_dir):
     return values.select(fields.alias("r")).select("r.*")
 
 
+def landing_split_large(spark, sf_dir):
+    """All edits as a few objects without a line break, each read by several tasks."""
+    value = F.to_json(F.struct("event_id", "title", F.lit('}{ " \\').alias("comment"), F.struct("user").alias("by")))
+    edited = edits(spark, sf_dir).select(value.alias("value"))
+    root = run_folder(spark, "landing-large")
+    edited.coalesce(2).write.option("lineSep", " ").text(f"{root}/in")
+    values = split_large(spark, f"{root}/in", f"{root}/work").where("error is null")
+    fields = F.from_json("record", "event_id long, title string, comment string, by struct<user: string>")
+    return values.select(fields.alias("r")).select("r.event_id", "r.title", "r.comment", "r.by.user")
+
+
 # ---------------------------------------------------------------- speed layer
 
 
@@ -574,6 +585,7 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_title_counts": json_title_counts,
         "keyed_bus_rows": keyed_bus_rows,
         "landing_split": landing_split,
+        "landing_split_large": landing_split_large,
         "stored_event_json": stored_event_json,
         "trending_rate": trending_rate,
         "trending_rate_all": trending_rate_all,

@@ -246,6 +246,7 @@ ORACLE: dict[str, str] = {
         """SELECT event_id, title, '{a}{b}' AS "comment", NULL::VARCHAR AS "user" FROM edits
  UNION ALL SELECT event_id, NULL, NULL, "user" FROM edits"""
     ),
+    "landing_split_large": _all("""SELECT event_id, title, '}{ " \\' AS "comment", "user" FROM edits"""),
     "stored_event_json": _all(f"SELECT {EVENT_COLUMNS} FROM edits"),
     "trending_rate": _all(
         _TOP_TEN, RECENT, PAST, SCORED.format(carried=""),
