@@ -20,8 +20,8 @@ def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() in _NOTHING_THERE
 
 
-def read_event_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of normalised events anywhere below a folder, with a typed timestamp."""
+def read_event_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON lines of normalised events anywhere below a folder (or in a list of files), with a typed timestamp."""
     lines = spark.read.schema(WIRE_EVENT).option("recursiveFileLookup", "true").json(path)
     return lines.withColumn("timestamp", parse_timestamp(F.col("timestamp")))
 
