@@ -10,11 +10,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import lru_cache
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import TimestampType
 
 from editpulse.config import DEFAULTS
@@ -22,6 +23,8 @@ from editpulse.functions import hourly_rate, looks_anonymous, to_iso
 from editpulse.operators import display, filters, history, live, normalise, rates, trend, windows
 from editpulse.plans import serving, speed_layer
 from editpulse.plans.batch_layer import run_batch_layer
+from editpulse.plans.incremental import update_batch_layer
+from editpulse.schemas import BATCH_TABLES
 from editpulse.session import configure, run_folder
 from editpulse.sources import (
     StoredBaseline, read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, split_large, store_baseline,
@@ -29,8 +32,10 @@ from editpulse.sources import (
 )
 from editpulse.sources.event_log import edits_from_log, raw_changes
 from editpulse.sources.tables import create_event_table
-from editpulse.streaming import ingest_stream, land_stream, live_stream, metrics_stream, read_ticks, store_stream, trending_stream
-from editpulse.streaming.trending import sliding_count_stream
+from editpulse.streaming import (
+    ingest_stream, land_stream, live_stream, metrics_stream, read_recent, read_ticks, recent_stream, store_stream, trending_stream,
+)
+from editpulse.streaming.trending import distinct_stream, sliding_count_stream
 
 DAY = 86400
 QUARTER_DAY = 21600
@@ -505,7 +510,60 @@ def stream_ingest(spark, sf_dir):
     path = staged(spark, raw, "ingest", "text")
     root = path.rsplit("/", 1)[0]
     ingest_stream(read_stream(spark, path, source="text"), f"{root}/out", f"{root}/checkpoint", seconds=None).awaitTermination()
-    return plain(spark.read.parquet(f"{root}/out/events").drop("batch_id"))
+    return plain(spark.read.parquet(f"{root}/out/events").drop("batch_id", "event_date"))
+
+
+def stream_ingest_bus(spark, sf_dir):
+    """What the bus got: the place of each event among those of its key."""
+    raw = raw_changes(edits(spark, sf_dir)).select("value")
+    path = staged(spark, raw, "ingest-bus", "text")
+    root = path.rsplit("/", 1)[0]
+    ingest_stream(read_stream(spark, path, source="text"), f"{root}/out", f"{root}/checkpoint", seconds=None).awaitTermination()
+    rows = spark.read.parquet(f"{root}/out/bus")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("batch_id", "sequence"))
+    fields = F.from_json("value", "timestamp string, user string, wiki string")
+    return rows.select("key", place.alias("place"), fields.alias("f")).select("key", "place", "f.*")
+
+
+def stream_recent_events(spark, sf_dir):
+    """The newest events after several files and a restart."""
+    events = zoned(edits(spark, sf_dir))
+    root = run_folder(spark, "recent")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{root}/in")
+        stream = read_stream(spark, f"{root}/in", events.schema, per_trigger=4)
+        recent_stream(stream, f"{root}/out", f"{root}/checkpoint", seconds=None, tie=["event_id"]).awaitTermination()
+    return read_recent(spark, f"{root}/out", 50, tie=["event_id"])
+
+
+def sliding_distincts(spark, sf_dir):
+    """Editors and articles of each window: exact, and whether the estimates of the stream are within their bound."""
+    events = edits(spark, sf_dir)
+    stream, root = edit_stream(spark, sf_dir, "distincts")
+    estimates = distinct_stream(stream, ["user", "title"], STREAM_SETTINGS)
+    query = estimates.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+    query.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    near = plain(spark.read.parquet(f"{root}/out"))
+    exact = plain(windows.sliding_distincts(events, ["user", "title"], DAY, QUARTER_DAY))
+    close = lambda c: F.abs(F.col(f"near_{c}") - F.col(f"distinct_{c}")) <= windows.DISTINCT_ERROR * F.col(f"distinct_{c}")
+    joined = exact.join(near.select("window_start", "near_user", "near_title", F.col("edits").alias("near_edits")), "window_start", "left")
+    within = close("user") & close("title") & (F.col("edits") == F.col("near_edits"))
+    return joined.select("window_start", "window_end", "edits", "distinct_user", "distinct_title", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+@lru_cache(maxsize=4)
+def incremental_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The batch layer after two runs, each over the half of the edits that is new to it."""
+    events = zoned(edits(spark, sf_dir))
+    root = run_folder(spark, "incremental")
+    for half in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        events.where(half).write.mode("append").parquet(f"{root}/in")
+        paths = update_batch_layer(spark, f"{root}/in", f"{root}/out")
+    return paths
+
+
+def incremental_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plain(spark.read.parquet(incremental_tables(configure(spark), sf_dir)[name]))
 
 
 def stream_landing(spark, sf_dir):
@@ -576,6 +634,7 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_layer_hourly": batch_layer_table("edit_rate_hourly"),
         "batch_layer_bots": batch_layer_table("bot_vs_human"),
         "batch_layer_namespaces": batch_layer_table("namespace_breakdown"),
+        **{f"incremental_{name}": incremental_table(name) for name in BATCH_TABLES},
         "normalised_events": normalised_events,
         "rejected_records": rejected_records,
         "ingest_counters": lambda s, d: normalise.ingest_counters(normalised(s, d)),
@@ -638,6 +697,9 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_store": stream_store,
         "sql_event_table": sql_event_table,
         "stream_ingest": stream_ingest,
+        "stream_ingest_bus": stream_ingest_bus,
+        "stream_recent_events": stream_recent_events,
+        "sliding_distincts": sliding_distincts,
         "stream_landing": stream_landing,
         "stream_ingest_metrics": stream_ingest_metrics,
     }

@@ -1,6 +1,9 @@
 """Ingestion: raw change JSON to events, bus rows, rejects and counters.
 
-    spark-submit --py-files editpulse.zip submit.py ingest --input DIR --output DIR
+    spark-submit --py-files editpulse.zip submit.py ingest --input DIR --output DIR [--rates] [--land] [--recent]
+
+Beside them, each as a stream of its own: ``--rates`` the ingestion rate of every
+interval, ``--land`` the raw records by hour of arrival, ``--recent`` the newest events.
 """
 
 from __future__ import annotations
@@ -10,8 +13,8 @@ from dataclasses import replace
 
 from ..config import DEFAULTS
 from ..session import build_session
-from ..sources import read_stream
-from ..streaming import ingest_stream
+from ..sources import read_stream, with_arrival_time
+from ..streaming import ingest_batch, ingest_stream, land_stream, metrics_stream, recent_stream
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -25,6 +28,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--batch-seconds", type=float, default=DEFAULTS.trigger_seconds)
     p.add_argument("--per-trigger", type=int, default=None)
     p.add_argument("--until-done", action="store_true")
+    p.add_argument("--rates", action="store_true")
+    p.add_argument("--land", action="store_true")
+    p.add_argument("--recent", action="store_true")
     args = p.parse_args(argv)
 
     spark = build_session("editpulse-ingest")
@@ -36,14 +42,20 @@ def main(argv: list[str] | None = None) -> None:
         exclude_bots=not args.keep_bots,
     )
     raw = read_stream(spark, args.input, source="text", per_trigger=args.per_trigger)
-    query = ingest_stream(
-        raw,
-        args.output,
-        f"{args.output.rstrip('/')}/_checkpoint",
-        settings,
-        None if args.until_done else args.batch_seconds,
-    )
-    query.awaitTermination()
+    root, seconds = args.output.rstrip("/"), None if args.until_done else args.batch_seconds
+    queries = [ingest_stream(raw, root, f"{root}/_checkpoint", settings, seconds)]
+    accepted, _ = ingest_batch(raw, settings)
+    if args.rates:
+        every = None if args.until_done else settings.metric_interval_seconds
+        queries.append(metrics_stream(accepted, f"{root}/rates", f"{root}/_checkpoint_rates", settings, every))
+    if args.land:
+        flush = None if args.until_done else settings.store_flush_seconds
+        arrived = with_arrival_time(raw, "arrived_at")
+        queries.append(land_stream(arrived, f"{root}/landed", f"{root}/_checkpoint_landed", flush))
+    if args.recent:
+        queries.append(recent_stream(accepted, f"{root}/recent", f"{root}/_checkpoint_recent", settings.recent_events, seconds))
+    for query in queries:
+        query.awaitTermination()
 
 
 if __name__ == "__main__":

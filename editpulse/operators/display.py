@@ -37,13 +37,13 @@ def present_columns(df: DataFrame, columns: Sequence[str] = STREAM_COLUMNS) -> D
     return df.select(*[c for c in columns if c in df.columns])
 
 
-def bus_rows(events: DataFrame) -> DataFrame:
-    """Key and JSON payload of each event, ready for a keyed sink."""
+def bus_rows(events: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Key and JSON payload of each event, ready for a keyed sink, and columns carried along."""
     key = F.left(F.coalesce(null_if_empty(F.col("title")), F.lit("unknown")), F.lit(MAX_KEY_LENGTH))
     fields = [to_iso(F.col("timestamp")).alias("timestamp")]
     fields += [F.col(name) for name in EVENT.fieldNames()[1:]]
     payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return events.select(key.alias("key"), payload.alias("value"))
+    return events.select(key.alias("key"), payload.alias("value"), *carried)
 
 
 def recent_events(

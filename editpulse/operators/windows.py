@@ -129,6 +129,47 @@ def sliding_counts(
     )
 
 
+#: Sketches of 2 ** DISTINCT_BITS registers: three standard errors (0.83 / sqrt(registers) each) are below 2 %.
+DISTINCT_BITS, DISTINCT_ERROR = 14, 0.02
+
+
+def pane_sketches(events: DataFrame, columns: Sequence[str], slide_seconds: int, ts: str = "timestamp") -> DataFrame:
+    """Edits per slide-wide pane and, for each column, a sketch of its distinct values."""
+    pane = F.window(ts, f"{slide_seconds} seconds")
+    sketches = [F.hll_sketch_agg(c, F.lit(DISTINCT_BITS)).alias(f"_{c}") for c in columns]
+    return events.groupBy(pane.alias("pane")).agg(F.count("*").alias("edits"), *sketches)
+
+
+def united_sketches(panes: DataFrame, columns: Sequence[str], window: Column) -> DataFrame:
+    """Edits and estimated distinct values (``near_<column>``) per window, from the sketches of its panes.
+
+    Sketches merge without loss, so a window costs one small sketch per pane,
+    however many edits the panes hold.
+    """
+    united = [F.hll_sketch_estimate(F.hll_union_agg(f"_{c}")).alias(f"near_{c}") for c in columns]
+    return panes.groupBy(window.alias("w")).agg(F.sum("edits").alias("edits"), *united).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "edits", *[f"near_{c}" for c in columns]
+    )
+
+
+def sliding_distincts(
+    events: DataFrame, columns: Sequence[str], window_seconds: int, slide_seconds: int, ts: str = "timestamp"
+) -> DataFrame:
+    """Edits and exact distinct values (``distinct_<column>``) per sliding window.
+
+    Values are made distinct per pane before they are copied into windows, and
+    each column has a pass of its own.
+    """
+    windows = F.window(F.col("pane.start"), f"{window_seconds} seconds", f"{slide_seconds} seconds").alias("w")
+    pane = F.window(ts, f"{slide_seconds} seconds").alias("pane")
+    result = events.groupBy(pane).agg(F.count("*").alias("edits")).select(windows, "edits").groupBy("w").agg(F.sum("edits").alias("edits"))
+    for c in columns:
+        values = events.where(F.col(c).isNotNull()).select(pane, c).distinct().select(windows, c).distinct()
+        result = result.join(values.groupBy("w").agg(F.count(c).alias(f"distinct_{c}")), "w", "left")
+    counts = [F.coalesce(f"distinct_{c}", F.lit(0)).alias(f"distinct_{c}") for c in columns]
+    return result.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "edits", *counts)
+
+
 def trailing_counts(
     events: DataFrame,
     seconds: int = DEFAULTS.window_seconds,

@@ -4,7 +4,8 @@ from .commits import CommitLog
 from .files import (
     append_metrics, overwrite_table, publish_snapshots, rewrite_landing, write_batch, write_rejects,
 )
+from .keyed import write_keyed
 
 __all__ = [
-    "CommitLog", "append_metrics", "overwrite_table", "publish_snapshots", "rewrite_landing", "write_batch", "write_rejects",
+    "CommitLog", "append_metrics", "overwrite_table", "publish_snapshots", "rewrite_landing", "write_batch", "write_keyed", "write_rejects",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -12,9 +14,10 @@ def overwrite_table(frame: DataFrame, root: str, name: str, files: int | None =
     return path
 
 
-def write_batch(frame: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
-    """Write one micro-batch to a folder of its own; writing it again replaces it."""
-    frame.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+def write_batch(frame: DataFrame, path: str, batch_id: int, fmt: str = "parquet", by: Sequence[str] = ()) -> None:
+    """Write one micro-batch to a folder of its own, there by the given columns; writing it again replaces it."""
+    writer = frame.write.mode("overwrite").format(fmt)
+    (writer.partitionBy(*by) if by else writer).save(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
 def publish_snapshots(documents: DataFrame, path: str, batch_id: int) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators.display import bus_rows, event_row
 from ..operators.filters import ingest_condition, ingest_filter
 from ..operators.normalise import accepted, counter_columns, normalise, rejected
 from ..operators.rates import metric_rows
-from ..sinks import append_metrics, write_batch
+from ..sinks import CommitLog, append_metrics, write_batch, write_keyed
 
 
 def trigger(writer: DataStreamWriter, seconds: float | None) -> DataStreamWriter:
@@ -76,7 +76,9 @@ def ingest_stream(
 
     A micro-batch is normalised once and written once, to a folder of its own;
     the consumers are cut from that written batch, so a lost executor or a retry
-    neither repeats the parsing for each consumer nor duplicates a row.
+    neither repeats the parsing for each consumer nor duplicates a row. The copy
+    goes when they are done. Events lie by batch and date, so that readers of a
+    trailing window open its dates only; bus rows carry a sequence per key.
     """
     root = output.rstrip("/")
 
@@ -87,8 +89,8 @@ def ingest_stream(
         write_batch(normalise(batch.select(value), value), f"{root}/normalised", batch_id)
         checked = spark.read.parquet(f"{root}/normalised/batch_id={batch_id}")
         events = ingest_filter(accepted(checked), settings)
-        write_batch(events, f"{root}/events", batch_id)
-        write_batch(bus_rows(events), f"{root}/bus", batch_id)
+        write_batch(events.withColumn("event_date", F.to_date("timestamp")), f"{root}/events", batch_id, by=["event_date"])
+        write_keyed(bus_rows(events, ["timestamp"]), f"{root}/bus", batch_id, ["timestamp", "value"])
         write_batch(rejected(checked), f"{root}/rejects", batch_id)
         counters = checked.agg(*counter_columns(settings))
         names = ("total_received", "total_accepted", "total_filtered", "total_parse_errors")
@@ -96,6 +98,7 @@ def ingest_stream(
             counters, {n: (F.col(n), "Count") for n in names}, F.current_timestamp(), settings.metric_namespace
         )
         append_metrics(samples, f"{root}/metrics", batch_id)
+        CommitLog(spark, root).drop(f"{root}/normalised/batch_id={batch_id}")
 
     writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return trigger(writer, seconds).start()

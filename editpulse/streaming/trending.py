@@ -9,7 +9,7 @@ title and open window.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +18,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import to_iso
 from ..operators import live, rates, trend
 from ..operators.filters import with_title
+from ..operators.windows import pane_sketches, united_sketches
 from ..sinks import append_metrics, publish_snapshots
 from .ingest import trigger
 
@@ -44,6 +45,18 @@ def sliding_count_stream(
     )
 
 
+def distinct_stream(
+    events: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, ts: str = "timestamp"
+) -> DataFrame:
+    """Edits and estimated distinct values per sliding window, each window once (append mode).
+
+    The state holds a sketch per column and open pane or window, whatever the traffic.
+    """
+    panes = pane_sketches(events.withWatermark(ts, settings.watermark_delay), columns, settings.slide_seconds, ts)
+    wide = F.window(F.window_time("pane"), f"{settings.window_seconds} seconds", f"{settings.slide_seconds} seconds")
+    return united_sketches(panes, columns, wide)
+
+
 def trending_stream(
     events: DataFrame,
     baseline: DataFrame | Callable[[], DataFrame] | None,

@@ -411,6 +411,26 @@ SELECT *, (SELECT min_by(runtime_seconds, executors) FROM runs) / runtime_second
     ),
     "stream_store": _all(f"SELECT {EVENT_COLUMNS} FROM edits"),
     "stream_ingest": _all(f"SELECT {EVENT_COLUMNS} FROM passing", EXPECTED),
+    "stream_ingest_bus": _all(
+        """SELECT title AS key, CAST(row_number() OVER (PARTITION BY title ORDER BY "timestamp", "user" || '"', anonymous) AS INTEGER) AS place,
+ strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || '+00:00' AS "timestamp", "user", wiki FROM passing""",
+        EXPECTED,
+    ),
+    "stream_recent_events": _all(
+        f"""SELECT {ISO} AS "timestamp", title, "user", anonymous, bot, "comment", namespace, wiki, server_name
+ FROM (SELECT * FROM edits ORDER BY "timestamp" DESC, event_id DESC LIMIT 50) newest"""
+    ),
+    "sliding_distincts": _all(
+        """SELECT pane - i * INTERVAL 6 HOUR AS window_start, pane - i * INTERVAL 6 HOUR + INTERVAL 1 DAY AS window_end,
+ count(*) AS edits, count(DISTINCT "user") AS distinct_user, count(DISTINCT title) AS distinct_title, true AS within
+ FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, "timestamp", TIMESTAMP '1970-01-01') AS pane FROM edits), range(4) r(i) GROUP BY 1, 2"""
+    ),
+    "incremental_top_articles": _all(_TOP),
+    "incremental_article_baseline": _all(_BASELINE, _ALL_BASELINE),
+    "incremental_summary": _all(_TOTALS),
+    "incremental_edit_rate_hourly": _all(_HOURLY),
+    "incremental_bot_vs_human": _all(_BOTS),
+    "incremental_namespace_breakdown": _all(_NAMESPACES),
     "stream_landing": _all(
         """SELECT strftime("timestamp", '%Y-%m-%d') AS event_date, CAST(hour("timestamp") AS INTEGER) AS event_hour,
  title AS value, count(*) AS count FROM edits GROUP BY ALL"""
