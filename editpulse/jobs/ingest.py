@@ -2,8 +2,8 @@
 
     spark-submit --py-files editpulse.zip submit.py ingest --input DIR --output DIR [--rates] [--land] [--recent]
 
-Beside them, each as a stream of its own: ``--rates`` the ingestion rate of every
-interval, ``--land`` the raw records by hour of arrival, ``--recent`` the newest events.
+Beside them: ``--rates`` the ingestion rate by interval, ``--recent`` the newest
+events, ``--land`` the raw records by hour of arrival (a stream of its own).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import replace
 from ..config import DEFAULTS
 from ..session import build_session
 from ..sources import read_stream, with_arrival_time
-from ..streaming import ingest_batch, ingest_stream, land_stream, metrics_stream, recent_stream
+from ..streaming import ingest_stream, land_stream, rate_samples, recent_buffer
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -43,17 +43,12 @@ def main(argv: list[str] | None = None) -> None:
     )
     raw = read_stream(spark, args.input, source="text", per_trigger=args.per_trigger)
     root, seconds = args.output.rstrip("/"), None if args.until_done else args.batch_seconds
-    queries = [ingest_stream(raw, root, f"{root}/_checkpoint", settings, seconds)]
-    accepted, _ = ingest_batch(raw, settings)
-    if args.rates:
-        every = None if args.until_done else settings.metric_interval_seconds
-        queries.append(metrics_stream(accepted, f"{root}/rates", f"{root}/_checkpoint_rates", settings, every))
+    consumers = [rate_samples(f"{root}/rates", settings)] if args.rates else []
+    consumers += [recent_buffer(f"{root}/recent", settings.recent_events)] if args.recent else []
+    queries = [ingest_stream(raw, root, f"{root}/_checkpoint", settings, seconds, consumers=consumers)]
     if args.land:
         flush = None if args.until_done else settings.store_flush_seconds
-        arrived = with_arrival_time(raw, "arrived_at")
-        queries.append(land_stream(arrived, f"{root}/landed", f"{root}/_checkpoint_landed", flush))
-    if args.recent:
-        queries.append(recent_stream(accepted, f"{root}/recent", f"{root}/_checkpoint_recent", settings.recent_events, seconds))
+        queries.append(land_stream(with_arrival_time(raw, "arrived_at"), f"{root}/landed", f"{root}/_checkpoint_landed", flush))
     for query in queries:
         query.awaitTermination()
 

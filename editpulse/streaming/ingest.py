@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -9,7 +11,7 @@ from ..config import DEFAULTS, Settings
 from ..operators.display import bus_rows, event_row
 from ..operators.filters import ingest_condition, ingest_filter
 from ..operators.normalise import accepted, counter_columns, normalise, rejected
-from ..operators.rates import metric_rows
+from ..operators.rates import ingest_metrics, ingest_rate, metric_rows
 from ..sinks import CommitLog, append_metrics, write_batch, write_keyed
 
 
@@ -71,9 +73,12 @@ def ingest_stream(
     settings: Settings = DEFAULTS,
     seconds: float | None = DEFAULTS.trigger_seconds,
     value: str = "value",
+    consumers: Sequence[Callable[[DataFrame, int], None]] = (),
 ) -> StreamingQuery:
     """Parse, filter and fan out one stream to events, bus rows, rejects and counters.
 
+    Further ``consumers`` are given the stored events of a micro-batch and its id.
+
     A micro-batch is normalised once and written once, to a folder of its own;
     the consumers are cut from that written batch, so a lost executor or a retry
     neither repeats the parsing for each consumer nor duplicates a row. The copy
@@ -98,17 +103,33 @@ def ingest_stream(
             counters, {n: (F.col(n), "Count") for n in names}, F.current_timestamp(), settings.metric_namespace
         )
         append_metrics(samples, f"{root}/metrics", batch_id)
+        stored = event_row(spark.read.parquet(f"{root}/events/batch_id={batch_id}")) if consumers and not events.isEmpty() else None
+        for consume in consumers if stored is not None else ():
+            consume(stored, batch_id)
         CommitLog(spark, root).drop(f"{root}/normalised/batch_id={batch_id}")
 
     writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return trigger(writer, seconds).start()
 
 
+def rate_samples(path: str, settings: Settings = DEFAULTS) -> Callable[[DataFrame, int], None]:
+    """A consumer that writes the ingestion rate of each micro-batch by interval.
+
+    An interval that several micro-batches reach has a sample in each; they add up.
+    """
+
+    def write(events: DataFrame, batch_id: int) -> None:
+        counted = ingest_rate(events, settings.metric_interval_seconds)
+        append_metrics(ingest_metrics(counted, settings.metric_namespace), path, batch_id)
+
+    return write
+
+
 def observed(normalised: DataFrame, settings: Settings = DEFAULTS, name: str = "ingest") -> DataFrame:
     """Pass rows through and report the pipeline counters with each micro-batch's progress."""
     return normalised.observe(name, *counter_columns(settings))
 
 
 __all__ = [
-    "ingest_batch", "ingest_condition", "ingest_stream", "land_stream", "observed", "store_stream", "trigger",
+    "ingest_batch", "ingest_condition", "ingest_stream", "land_stream", "observed", "rate_samples", "store_stream", "trigger",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,19 +14,12 @@ from ..sinks import CommitLog, write_batch
 from .ingest import trigger
 
 
-def recent_stream(
-    events: DataFrame,
-    output: str,
-    checkpoint: str,
-    keep: int = DEFAULTS.recent_events,
-    seconds: float | None = DEFAULTS.trigger_seconds,
-    tie: Sequence[str] = ("title", "user"),
-) -> StreamingQuery:
-    """Keep the newest ``keep`` events by time below ``output``.
+def recent_buffer(output: str, keep: int = DEFAULTS.recent_events, tie: Sequence[str] = ("title", "user")) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does to the buffer of the newest ``keep`` events below ``output``.
 
-    Each micro-batch is cut to its newest events before they meet the buffer, and
-    the new buffer takes the place of the old one by a record, so readers find the
-    one or the other and a retry starts from the buffer before its batch.
+    The batch is cut to its newest events before they meet the buffer, and the new
+    buffer takes the place of the old one by a record, so readers find the one or
+    the other and a retry starts from the buffer before its batch.
     """
     root = output.rstrip("/")
     newest = [F.desc("timestamp"), *[F.desc(c) for c in tie]]
@@ -45,7 +38,19 @@ def recent_stream(
                 log.drop(f"{root}/buffer/batch_id={old}")
         log.forget(last[0] if last else 0)
 
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return merge
+
+
+def recent_stream(
+    events: DataFrame,
+    output: str,
+    checkpoint: str,
+    keep: int = DEFAULTS.recent_events,
+    seconds: float | None = DEFAULTS.trigger_seconds,
+    tie: Sequence[str] = ("title", "user"),
+) -> StreamingQuery:
+    """Keep the newest ``keep`` events by time below ``output``."""
+    writer = events.writeStream.foreachBatch(recent_buffer(output, keep, tie)).option("checkpointLocation", checkpoint)
     return trigger(writer, seconds).start()
 
 
