@@ -170,6 +170,34 @@ def sliding_distincts(
     return result.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "edits", *counts)
 
 
+#: Cells of a stretch of running sums.
+STRETCH = 4096
+
+
+def _sums_before(cells: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """For each (key, cell): ``whole``, the edits of the ``length`` cells before it."""
+    zero, up = F.lit(0).cast("long"), F.col("cell") + 1
+    asked = cells.select(*keys, "cell", zero.alias("step"), F.lit(True).alias("asked"))
+    ups = cells.select(*keys, up.alias("cell"), F.col("cell_edits").alias("step"), F.lit(False).alias("asked"))
+    downs = cells.select(*keys, (up + length).alias("cell"), (-F.col("cell_edits")).alias("step"), F.lit(False).alias("asked"))
+    steps = asked.unionByName(ups).unionByName(downs)
+    # One row per cell: a cell that is asked for may also be where others go up or down.
+    steps = steps.groupBy(*keys, "cell").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    steps = steps.withColumn("stretch", F.floor(F.col("cell") / F.lit(STRETCH)))
+    inner = Window.partitionBy(*keys, "stretch").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = steps.groupBy(*keys, "stretch").agg(F.sum("step").alias("_total"))
+    based = totals.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("stretch").alias("_stretch"), F.coalesce(F.sum("_total").over(before), zero).alias("_base")
+    )
+    same = F.col("stretch") == F.col("_stretch")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    summed = steps.withColumn("_inner", F.sum("step").over(inner)).where("asked")
+    whole = summed.join(based, same).select(*keys, "cell", (F.col("_base") + F.col("_inner")).alias("whole"))
+    return whole.where("whole != 0")
+
+
 def trailing_counts(
     events: DataFrame,
     seconds: int = DEFAULTS.window_seconds,
@@ -182,19 +210,20 @@ def trailing_counts(
     ``trailing_edits`` in ``[ts - seconds, ts]``. With ``by=()`` the window is
     over all events.
 
-    A key is never handled as one group. Time is cut into cells that divide the
-    window evenly, and
+    A key is never handled as one group. Time is cut into cells of a second, and
 
         trailing = whole cells inside the window
                  + the current cell up to this instant
                  - the oldest cell before this offset
 
-    so a task sees one key in one cell (at most as many rows as the cell has
-    microseconds) or one key's cell totals in a stretch of cells.
+    so a task sees one key in one cell, which has at most as many instants as a
+    second has microseconds. The sum of whole cells goes up one cell after a cell
+    and down again a window later; it is a running sum in stretches of STRETCH
+    cells, on top of one over the stretches of a key. None of these grows with the
+    traffic or the length of the window.
     """
-    span = seconds * 1_000_000
-    cells_per_window = max(d for d in range(1, 61) if span % d == 0)
-    width = span // cells_per_window
+    width = 1_000_000
+    cells_per_window = seconds
     keys = list(by)
 
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -205,20 +234,7 @@ def trailing_counts(
         .agg(F.count("*").alias("edits"))
         .select(*keys, ts, "edits", ((micros - offset) / F.lit(width)).cast("long").alias("cell"), offset.alias("offset"))
     )
-
-    # Totals of the cells before the current one, per stretch of cells. A stretch
-    # also receives the last window's worth of cells of the stretch before it.
-    stretch_cells = 64 * cells_per_window
-    own = F.floor(F.col("cell") / F.lit(stretch_cells))
-    reached = F.floor((F.col("cell") + cells_per_window) / F.lit(stretch_cells))
-    before = Window.partitionBy(*keys, "stretch").orderBy("cell").rangeBetween(-cells_per_window, -1)
-    whole_cells = (
-        instants.groupBy(*keys, "cell")
-        .agg(F.sum("edits").alias("cell_edits"))
-        .withColumn("stretch", F.explode(F.array_distinct(F.array(own, reached))))
-        .withColumn("whole", F.sum("cell_edits").over(before))
-        .where((F.col("stretch") == own) & F.col("whole").isNotNull())
-    )
+    whole_cells = _sums_before(instants.groupBy(*keys, "cell").agg(F.sum("edits").alias("cell_edits")), keys, cells_per_window)
 
     # One list of additions and removals per (key, cell), in order of the offset:
     # the whole cells first, then each instant; an instant is removed again one

@@ -127,20 +127,27 @@ class LiveWindows:
             return
         low = end if touched is None else touched
         if same and low > start and was["end"] > start:
-            old_start, old_end = was["end"] - was["window"], was["end"]
-            parts = [
-                (spark.read.schema(TOTALS).parquet(f"{self.root}/{was['totals']}"), "recent_edits"),
-                (self._panes(spark, was, old_start, start), "-edits"),
-                (self._panes(spark, was, low, old_end), "-edits"),
-                (self._panes(spark, now, low, end), "edits"),
-            ]
+            rows = self._gained(spark, was, now, low).unionByName(spark.read.schema(TOTALS).parquet(f"{self.root}/{was['totals']}"))
         else:
-            parts = [(self._panes(spark, now, start, end), "edits")]
-        rows = reduce(DataFrame.unionByName, [f.selectExpr("title", f"{sign} as recent_edits") for f, sign in parts])
+            rows = self._panes(spark, now, start, end).select("title", F.col("edits").alias("recent_edits"))
         totals = rows.groupBy("title").agg(F.sum("recent_edits").alias("recent_edits")).where("recent_edits != 0")
         write_batch(totals, f"{self.root}/totals", now["batch"])
         now["totals"] = f"totals/batch_id={now['batch']}"
 
+    def _gained(self, spark: SparkSession, was: dict, now: dict, low: int) -> DataFrame:
+        """What the current window gains by title: panes changed (from ``low`` on) less what they were, less panes that left."""
+        start, pane, edits = now["end"] - now["window"], F.col("pane"), F.col("edits")
+        rows = [(was["panes"], False), ([p for p in now["panes"] if p not in was["panes"]], True)]
+        parts = [
+            spark.read.schema(PANES).parquet(*[f"{self.root}/{p}" for p in folders]).withColumn("new", F.lit(new)) for folders, new in rows if folders
+        ]
+        left, changed = (pane >= was["end"] - was["window"]) & (pane < start), pane >= low
+        both = reduce(DataFrame.unionByName, parts).where((left | changed) & (edits > 0)).groupBy("pane", "title").agg(
+            F.max(F.when(~F.col("new"), edits)).alias("before"), F.max("edits").alias("after")
+        )
+        after = F.when(pane >= low, F.col("after")).otherwise(0)
+        return both.select("title", (after - F.coalesce("before", F.lit(0))).alias("recent_edits"))
+
     # ------------------------------------------------------------ documents
 
     def _documents(self, counts: DataFrame, grid: DataFrame, window: int) -> DataFrame:
