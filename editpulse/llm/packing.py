@@ -16,10 +16,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from editpulse.llm.common import Scratch, documents, tokenizer_file
-from editpulse.llm.tokens import word_ids
+from editpulse.llm.tokens import batch_ids
 
 LIMIT, SEGMENTS = 4096, 1024
 END = 2
@@ -33,9 +34,13 @@ def cut(batches: Iterator[pa.RecordBatch], path: str, limit: int, end: int) -> I
     tail = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         columns = [[], [], [], [], []]
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids(path, texts)):
-            ids += tail
+        if not batch.num_rows:
+            continue
+        all_ids, ends = batch_ids(path, pc.fill_null(batch.column("text"), ""))
+        raw, ends, begin = memoryview(all_ids.tobytes()), ends.tolist(), 0
+        for doc, stop in zip(batch.column("doc_id").to_pylist(), ends):
+            ids = bytes(raw[4 * begin : 4 * stop]) + tail
+            begin = stop
             n = len(ids) // 4
             for start in range(0, n, limit):
                 piece = ids[4 * start : 4 * (start + limit)]

@@ -19,14 +19,15 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: What some edition of Unicode or some library takes for white space, beyond ASCII's; as part of a character class.
 ODD_SPACES = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 ANY_ODD_SPACE = re.compile(f"[{ODD_SPACES}]")
 SPAN = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-WORD = re.compile(r"[^\t-\r ]+")
-#: A worker remembers so many pieces, then starts anew.
-REMEMBERED = 400_000
+#: A worker remembers so many pieces, then starts anew; of those that have ids, which are many in a batch, more.
+REMEMBERED, REMEMBERED_IDS = 400_000, 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -58,7 +59,8 @@ class Remembered(dict):
     many words can be encoded as one text and told apart again.
     """
 
-    def __init__(self, path: str, make, cut, join, lower: bool, edge: np.ndarray, ends: bool):
+    def __init__(self, path: str, make, cut, join, lower: bool, edge: np.ndarray, ends: bool, most: int = REMEMBERED):
+        self.most = most
         self.path, self.make, self.cut, self.join, self.lower, self.edge, self.ends = path, make, cut, join, lower, edge, ends
         self.plain: dict[str, object] = {}
 
@@ -77,10 +79,10 @@ class Remembered(dict):
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces - self.keys())
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) + len(new) > self.most:
             self.clear()
             new = list(pieces)
-        if len(self.plain) + len(new) > REMEMBERED:
+        if len(self.plain) + len(new) > self.most:
             self.plain.clear()
         matches, other = [], []
         for piece in new:
@@ -120,7 +122,7 @@ def edges(path: str, test) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def remembered_ids(path: str) -> Remembered:
-    return Remembered(path, as_bytes, cut_bytes, b"".join, True, edges(path, lambda t: t.endswith("</w>")), True)
+    return Remembered(path, as_bytes, cut_bytes, b"".join, True, edges(path, lambda t: t.endswith("</w>")), True, REMEMBERED_IDS)
 
 
 @lru_cache(maxsize=4)
@@ -154,9 +156,41 @@ def by_piece(known: Remembered, texts: list[str], split) -> list:
     return out
 
 
+def batch_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where each text ends.
+
+    Arrow splits the texts and numbers their distinct words; only those are
+    looked up, and the ids of all words are gathered by number.
+    """
+    known, odd = remembered_ids(path), specials(path)
+    whole = {i: odd_text for i, odd_text in enumerate(texts.to_pylist()) if odd.search(odd_text)}
+    if whole:  # texts that hold a special string are encoded as they are, the others without them
+        texts = pc.if_else(pa.array([i in whole for i in range(len(texts))], pa.bool_()), "", texts)
+    words = pc.ascii_split_whitespace(texts)
+    numbered = words.flatten().dictionary_encode()
+    distinct, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+    known.learn({w for w in distinct if w})
+    blobs = [known[w] if w else b"" for w in distinct]
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    lengths = sizes[number]
+    ends = np.cumsum(lengths)
+    place = np.repeat(starts[number] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+    ids = np.frombuffer(b"".join(blobs), "<u4")[place]
+    offsets = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+    text_ends = np.concatenate([[0], ends])[offsets]
+    if not whole:
+        return ids, text_ends
+    parts = [np.array(known.encode([whole[i]])[0], "<u4") if i in whole else p for i, p in enumerate(np.split(ids, text_ends[:-1]))]
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    return by_piece(remembered_ids(path), texts, WORD.findall)
+    if not texts:
+        return []
+    ids, ends = batch_ids(path, pa.array(texts, pa.string()))
+    return [p.tobytes() for p in np.split(ids, ends[:-1])]
 
 
 def spans(text: str) -> list[str] | None:
