@@ -26,6 +26,7 @@ from editpulse.plans.batch_layer import run_batch_layer
 from editpulse.plans.incremental import update_batch_layer
 from editpulse.schemas import BATCH_TABLES
 from editpulse.session import configure, run_folder
+from editpulse.sinks import compact_store, read_store
 from editpulse.sources import (
     StoredBaseline, read_baseline, read_event_json, read_landing, read_parts, read_snapshot, read_snapshots, read_stream, split_landing, split_large, store_baseline,
     union_parts,
@@ -492,6 +493,19 @@ def stream_store(spark, sf_dir):
     return stored
 
 
+def stream_store_compacted(spark, sf_dir):
+    """The store after closed dates were merged, more edits came into them, and they were merged again."""
+    events = zoned(edits(spark, sf_dir))
+    root = run_folder(spark, "compacted")
+    last = str(events.agg(F.to_date(F.max("timestamp"))).first()[0])
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{root}/in")
+        store_stream(read_stream(spark, f"{root}/in", events.schema), f"{root}/events", f"{root}/checkpoint", None).awaitTermination()
+        if part < 2:
+            compact_store(spark, f"{root}/events", last)
+    return plain(read_store(spark, f"{root}/events").drop("event_date"))
+
+
 def sql_event_table(spark, sf_dir):
     name = event_table(spark, sf_dir)
     sql = f"select event_date, title, count(*) as edits from {name} where namespace = ? group by event_date, title"
@@ -695,6 +709,7 @@ def edit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_all_windows": stream_all_windows,
         "stream_current_window": stream_current_window,
         "stream_store": stream_store,
+        "stream_store_compacted": stream_store_compacted,
         "sql_event_table": sql_event_table,
         "stream_ingest": stream_ingest,
         "stream_ingest_bus": stream_ingest_bus,

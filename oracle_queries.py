@@ -410,6 +410,7 @@ SELECT *, (SELECT min_by(runtime_seconds, executors) FROM runs) / runtime_second
         """SELECT CAST("timestamp" AS DATE) AS event_date, title, count(*) AS edits FROM edits WHERE namespace = 0 GROUP BY ALL"""
     ),
     "stream_store": _all(f"SELECT {EVENT_COLUMNS} FROM edits"),
+    "stream_store_compacted": _all(f"SELECT {EVENT_COLUMNS} FROM edits"),
     "stream_ingest": _all(f"SELECT {EVENT_COLUMNS} FROM passing", EXPECTED),
     "stream_ingest_bus": _all(
         """SELECT title AS key, CAST(row_number() OVER (PARTITION BY title ORDER BY "timestamp", "user" || '"', anonymous) AS INTEGER) AS place,

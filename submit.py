@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import sys
 
-JOBS = ("batch", "ingest", "repair", "speed")
+JOBS = ("batch", "compact", "ingest", "repair", "speed")
 
 
 def main(argv: list[str]) -> None:
