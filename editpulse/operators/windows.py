@@ -176,14 +176,14 @@ STRETCH = 4096
 
 def _sums_before(cells: DataFrame, keys: list[str], length: int) -> DataFrame:
     """For each (key, cell): ``whole``, the edits of the ``length`` cells before it."""
-    zero, up = F.lit(0).cast("long"), F.col("cell") + 1
-    asked = cells.select(*keys, "cell", zero.alias("step"), F.lit(True).alias("asked"))
-    ups = cells.select(*keys, up.alias("cell"), F.col("cell_edits").alias("step"), F.lit(False).alias("asked"))
-    downs = cells.select(*keys, (up + length).alias("cell"), (-F.col("cell_edits")).alias("step"), F.lit(False).alias("asked"))
-    steps = asked.unionByName(ups).unionByName(downs)
+    zero, up, n = F.lit(0).cast("long"), F.col("cell") + 1, F.col("cell_edits")
+    three = [(F.col("cell"), zero, True), (up, n, False), (up + length, -n, False)]
+    each = F.explode(F.array(*[F.struct(c.alias("cell"), s.alias("step"), F.lit(q).alias("asked")) for c, s, q in three]))
+    steps = cells.select(*keys, each.alias("s")).select(*keys, "s.*")
+    # Dealt by stretch at once, which serves all that follows up to the bases.
+    steps = steps.withColumn("stretch", F.floor(F.col("cell") / F.lit(STRETCH))).repartition(*keys, "stretch")
     # One row per cell: a cell that is asked for may also be where others go up or down.
-    steps = steps.groupBy(*keys, "cell").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
-    steps = steps.withColumn("stretch", F.floor(F.col("cell") / F.lit(STRETCH)))
+    steps = steps.groupBy(*keys, "stretch", "cell").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
     inner = Window.partitionBy(*keys, "stretch").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     totals = steps.groupBy(*keys, "stretch").agg(F.sum("step").alias("_total"))
@@ -240,19 +240,12 @@ def trailing_counts(
     # the whole cells first, then each instant; an instant is removed again one
     # window later, for the instants after its own offset.
     zero = F.lit(0).cast("long")
-    steps = (
-        instants.select(*keys, ts, "cell", "offset", "edits", F.col("edits").alias("plus"), zero.alias("minus"))
-        .unionByName(
-            instants.select(
-                *keys, ts, (F.col("cell") + cells_per_window).alias("cell"), "offset",
-                zero.alias("edits"), zero.alias("plus"), F.col("edits").alias("minus"),
-            )
-        )
-        .unionByName(
-            whole_cells.select(
-                *keys, F.lit(None).cast(events.schema[ts].dataType).alias(ts), "cell",
-                F.lit(-1).cast("long").alias("offset"), zero.alias("edits"), F.col("whole").alias("plus"), zero.alias("minus"),
-            )
+    own = F.struct("cell", "edits", F.col("edits").alias("plus"), zero.alias("minus"))
+    gone = F.struct((F.col("cell") + cells_per_window).alias("cell"), zero.alias("edits"), zero.alias("plus"), F.col("edits").alias("minus"))
+    steps = instants.select(*keys, ts, "offset", F.explode(F.array(own, gone)).alias("s")).select(*keys, ts, "offset", "s.*").unionByName(
+        whole_cells.select(
+            *keys, F.lit(None).cast(events.schema[ts].dataType).alias(ts), "cell",
+            F.lit(-1).cast("long").alias("offset"), zero.alias("edits"), F.col("whole").alias("plus"), zero.alias("minus"),
         )
     )
     in_cell = Window.partitionBy(*keys, "cell").orderBy("offset")
