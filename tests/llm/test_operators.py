@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows of all kinds and on an empty table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -425,6 +426,34 @@ def test_token_counts(docs, raw, chunk, overlap):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in found) == expected
 
 
+@pytest.mark.parametrize("text", ["word " * 2_000_000, "x1" * 5_000_000, "a b " + "y" * 9_999_990 + " tail"])
+def test_chunks_of_a_huge_text_are_encoded_twice_over_at_most(text):
+    rows = list(tokencount.cut(text, tokencount.CHUNK, tokencount.OVERLAP, [], set()))
+    assert sum(len(r[-1]) for r in rows) <= 2 * len(text)
+    assert [r[2] for r in rows] == [0, *[r[3] for r in rows[:-1]]] and rows[-1][3] == len(text)  # parts without gaps
+
+
+def test_token_counts_of_long_texts_without_spaces(spark):
+    texts = ["ab1" * 30_000, "a b" + "c" * 50_000 + " d" * 20_000, "\n" * 40_000, "w" * 33_000 + " " + "v" * 33_000]
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs).collect()}
+    assert found == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+def test_seams_that_no_token_ends_at_are_passed_over(spark, tmp_path):
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    t.add_tokens(["ka lo", "mi ne"])  # tokens across white space
+    path = str(tmp_path / "odd.json")
+    t.save(path)
+    draw = random.Random(3)
+    texts = ["ka lo " * 40, "".join(draw.choice(["mi ne", "ka lo", " ", "x ", "mi"]) for _ in range(300))]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    for chunk, overlap in [(16, 4), (50, 8)]:
+        found = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, path, chunk, overlap).collect()}
+        assert found == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate([*texts, texts[0]])}
+
+
 def test_token_counts_of_nothing(empty):
     assert tokencount.count_tokens(empty).count() == 0
 
