@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from editpulse.llm.common import NO_ID, Scratch, documents, partitions, two_hashes, whole
 from editpulse.llm.components import components
@@ -49,6 +50,8 @@ BLOCK, BLOCK_GRAMS, CHUNK = 512, 1 << 19, 4096
 #: The sketch has a fixed size at any size of the corpus: 2**23 counters, in 512 slices; in the end a byte each, on a log scale.
 SKETCH_BITS, SLICE_BITS = 23, 14
 STEPS = 12
+#: A set's signature has 64 times so many bits; an n-gram sets one.
+SIGNED = 16
 #: Broadcast up to so many rows of 24 bytes; beyond, shuffle.
 SMALL = 500_000
 MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], np.uint64)
@@ -82,16 +85,26 @@ def class_of(grams: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(grams.tobytes()))
 
 
+def signatures(sets: list[np.ndarray]) -> pa.Array:
+    """For each set, which of the low bits of n-grams occur in it; null for an empty one."""
+    bits = np.zeros((len(sets), 64 * SIGNED), bool)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[owner, (np.concatenate(sets) % np.uint64(64 * SIGNED)).astype(np.int64) if sets else owner] = True
+    words = np.packbits(bits, axis=1).view(np.int64).ravel()
+    lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SIGNED, pa.array(words))
+    return pa.compute.if_else(pa.array([len(s) > 0 for s in sets], pa.bool_()), lists, pa.scalar(None, lists.type))
+
+
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-SIZED = "doc_id long, t1 long, t2 long, n_shingles long, class long, slice int, counts binary"
+SIZED = "doc_id long, t1 long, t2 long, n_shingles long, class long, signature array<long>, slice int, counts binary"
 
 
 def measure(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per document; behind them the task's part of the sketch, in slices."""
-    names = ["doc_id", "t1", "t2", "n_shingles", "class", "slice", "counts"]
+    names = ["doc_id", "t1", "t2", "n_shingles", "class", "signature", "slice", "counts"]
     sketch, shift = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64(64 - SKETCH_BITS)
     for batch in batches:
         sets = [shingles(t, n) for t in raw_texts(batch)]
@@ -100,13 +113,13 @@ def measure(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         nothing = len(sets)
         yield pa.RecordBatch.from_arrays([
             *(batch.column(c) for c in names[:3]), pa.array([len(g) for g in sets], pa.int64()),
-            pa.array([class_of(g) if len(g) else None for g in sets], pa.int64()),
+            pa.array([class_of(g) if len(g) else None for g in sets], pa.int64()), signatures(sets),
             pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary()),
         ], names)
     slices = sketch.reshape(-1, 1 << SLICE_BITS)
     used = np.flatnonzero(slices.any(axis=1))
     yield pa.RecordBatch.from_arrays([
-        *[pa.nulls(len(used), pa.int64())] * 5,
+        *[pa.nulls(len(used), pa.int64())] * 5, pa.nulls(len(used), pa.list_(pa.int64())),
         pa.array(used, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in used], pa.binary()),
     ], names)
 
@@ -340,6 +353,16 @@ def within_prefixes(a: str, b: str, a_place: str, b_place: str):
     return (F.col(a_place) <= x - overlap) & (F.col(b_place) <= y - overlap)
 
 
+def signatures_allow(a: str, b: str, a_size: str, b_size: str):
+    """Exact bound of the overlap: a bit that only one set has stands for at least one n-gram that only it has."""
+    def common(p: str, size: str, q: str):
+        alone = (F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(SIGNED))
+        return F.col(size) - reduce(Column.__add__, alone)
+
+    needed = NUMERATOR * (F.col(a_size).cast("long") + F.col(b_size))
+    return ((NUMERATOR + DENOMINATOR) * common(a, a_size, b) >= needed) & ((NUMERATOR + DENOMINATOR) * common(b, b_size, a) >= needed)
+
+
 def runs_of(shared: DataFrame) -> DataFrame:
     """(gram, class, size, place) -> (run, class, size, weight, place): n-grams that the same classes have are one run.
 
@@ -378,24 +401,26 @@ def star_pairs(runs: DataFrame, groups: DataFrame, tried: DataFrame | None, k: i
     return best.select("x", "y")
 
 
-def all_pairs(runs: DataFrame, groups: DataFrame) -> DataFrame:
+def all_pairs(runs: DataFrame, groups: DataFrame, signed_classes: DataFrame) -> DataFrame:
     """Every pair that passes the filters and lies in different groups; each once.
 
     In each run, the classes outside the run's largest group meet all others; those
-    inside it have nothing to find among themselves.
+    inside it have nothing to find among themselves. The signatures drop most pairs
+    of a family that are not similar while they are made.
     """
     rows = runs.join(groups, "class")
     sizes = rows.groupBy("run", "group").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("run").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"))
-    rows = rows.join(mains.where("groups > 1").drop("groups"), "run")
-    few = rows.where("group != main").select("run", F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"), F.col("place").alias("a_place"), "weight")
+    rows = rows.join(mains.where("groups > 1").drop("groups"), "run").join(signed_classes, "class")
+    few = rows.where("group != main").select("run", F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"), F.col("place").alias("a_place"), F.col("signature").alias("a_bits"), "weight")
     every = rows.select(
-        F.col("run").alias("of"), F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"), F.col("place").alias("b_place"), "main"
+        F.col("run").alias("of"), F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"), F.col("place").alias("b_place"), F.col("signature").alias("b_bits"), "main"
     )
     met = few.join(every, F.col("run") == F.col("of")).where(
         (F.col("a_group") != F.col("b_group")) & lengths_allow("a_size", "b_size")
         & within_prefixes("a_size", "b_size", "a_place", "b_place")
         & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
+        & signatures_allow("a_bits", "b_bits", "a_size", "b_size")
     )
     return met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("weight").alias("n"))
 
@@ -434,10 +459,12 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
     a, b = two_hashes(F.col("text"))
     measured = scratch.table(texts.select("doc_id", "text", a.alias("t1"), b.alias("t2")).mapInArrow(partial(measure, n=n), SIZED), "measured")
     sketch = spark.sparkContext.broadcast(sketch_of(measured.where("slice is not null")))
-    rows = measured.where("slice is null").select("doc_id", "t1", "t2", "n_shingles", "class")
-    classes = scratch.table(rows.where("class is not null").groupBy("class").agg(
+    known = measured.where("slice is null")
+    rows = known.select("doc_id", "t1", "t2", "n_shingles", "class")
+    classes = scratch.table(known.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id"),
         F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"),
+        F.first("signature").alias("signature"),
     ), "classes")
 
     prefixes = texts.select("text").mapInArrow(partial(entries, n=n, sketch=sketch), "gram long, class long, size int, place int")
@@ -445,6 +472,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
     shared = scratch.table(prefixes.mapInArrow(shared_only, "gram long, class long, size int, place int"), "shared")
 
     runs = scratch.table(runs_of(shared), "runs")
+    scratch.drop("shared")
     sharing = scratch.table(runs.select("class").distinct(), "sharing")
 
     groups, tried = sharing.select("class", F.col("class").alias("group")), None
@@ -455,18 +483,23 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
         if found.isEmpty():
             break
         groups = regrouped(found, groups, scratch, f"round-{k}")
+    # The pairs are made once; later rounds drop those that were tried or whose ends are in one group by then.
+    left = all_pairs(runs, groups, classes.select("class", "signature"))
+    left = scratch.table(left if tried is None else left.join(tried, ["x", "y"], "left_anti"), "left-0")
+    scratch.drop("runs")
     each, k = FIRST_EACH, 0
-    while True:
-        left = scratch.table(all_pairs(runs, groups).join(tried, ["x", "y"], "left_anti"), f"left-{k}")
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         nth = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("n"), "x"))
         pairs = scratch.table(left.withColumn("nth", nth).where(F.col("nth") <= each).select("x", "y"), f"rest-{k}")
-        tried = with_swapped(tried, pairs)
         found = verified(pairs, texts, classes, scratch, f"rest-{k}-links", n)
         groups = regrouped(found, groups, scratch, f"rest-{k}")
+        ends = left.join(pairs, ["x", "y"], "left_anti")
+        ends = ends.join(groups.select(F.col("class").alias("x"), F.col("group").alias("a")), "x")
+        ends = ends.join(groups.select(F.col("class").alias("y"), F.col("group").alias("b")), "y").where("a != b")
+        left = scratch.table(ends.select("x", "y", "n"), f"left-{k + 1}")
+        scratch.drop(f"left-{k}", f"rest-{k}", f"rest-{k}-pairs", f"rest-{k}-asked", f"rest-{k}-links")
         each, k = each * MORE_EACH, k + 1
-    scratch.drop("shared", "runs")
+    scratch.drop(f"left-{k}")
 
     named = classes.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
     least = named.groupBy("group").agg(F.min("first_id").alias("least"))

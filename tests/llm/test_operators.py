@@ -321,6 +321,22 @@ def test_links_of_the_ngram_join(spark, docs, raw, monkeypatch):
     assert {frozenset(x) for x in classes.values()} >= {frozenset({i, i + 100}) for i in range(5)}
 
 
+def test_signatures_never_drop_a_similar_pair(spark):
+    draw = np.random.default_rng(4)
+    pool = draw.integers(0, 2**64, 4000, np.uint64)
+    sets = [np.unique(draw.choice(pool[: size + 20], size, replace=False)) for size in (5, 40, 120, 150, 150, 900, 3500, 3600)]
+    sets += [s[: max(1, len(s) * 8 // 10)] for s in sets]
+    rows = list(zip(range(len(sets)), map(len, sets), ngramjoin.signatures(sets).to_pylist()))
+    one, two = (spark.createDataFrame(rows, f"{c} int, {c}_size int, {c}_bits array<long>") for c in "ab")
+    allowed = one.crossJoin(two).where(ngramjoin.signatures_allow("a_bits", "b_bits", "a_size", "b_size"))
+    found = {(r.a, r.b) for r in allowed.select("a", "b").collect()}
+    linked = {
+        (i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(np.intersect1d(x, y)) >= ngramjoin.least_overlap(len(x), len(y))
+    }
+    assert linked <= found and len(linked) > len(sets) and len(found) < len(sets) ** 2 // 2
+    assert ngramjoin.signatures([]).to_pylist() == [] and ngramjoin.signatures([sets[0][:0]]).to_pylist() == [None]
+
+
 def test_shared_rows_over_batches():
     import pyarrow as pa
 
