@@ -99,6 +99,16 @@ def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def packed_slice(counts: np.ndarray) -> bytes:
+    """A byte a counter where that is enough."""
+    return zlib.compress((counts.astype(np.uint8) if counts.max() < 256 else counts).tobytes(), 1)
+
+
+def unpacked_slice(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, np.uint8 if len(raw) == 1 << SLICE_BITS else np.uint32).astype(np.int64)
+
+
 SIZED = "doc_id long, t1 long, t2 long, n_shingles long, class long, signature array<long>, slice int, counts binary"
 
 
@@ -120,7 +130,7 @@ def measure(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     used = np.flatnonzero(slices.any(axis=1))
     yield pa.RecordBatch.from_arrays([
         *[pa.nulls(len(used), pa.int64())] * 5, pa.nulls(len(used), pa.list_(pa.int64())),
-        pa.array(used, pa.int32()), pa.array([zlib.compress(slices[i].tobytes(), 1) for i in used], pa.binary()),
+        pa.array(used, pa.int32()), pa.array([packed_slice(slices[i]) for i in used], pa.binary()),
     ], names)
 
 
@@ -129,7 +139,7 @@ def add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+            part = unpacked_slice(packed)
             sums[k] = sums[k] + part if k in sums else part
     yield pa.RecordBatch.from_arrays([
         pa.array(list(sums), pa.int32()),

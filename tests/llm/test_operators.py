@@ -337,6 +337,13 @@ def test_signatures_never_drop_a_similar_pair(spark):
     assert ngramjoin.signatures([]).to_pylist() == [] and ngramjoin.signatures([sets[0][:0]]).to_pylist() == [None]
 
 
+def test_slices_of_the_sketch_come_back():
+    counts = np.random.default_rng(1).integers(0, 256, 1 << ngramjoin.SLICE_BITS).astype(np.uint32)
+    for top in (255, 256, 2**32 - 1):
+        counts[7] = top
+        assert (ngramjoin.unpacked_slice(ngramjoin.packed_slice(counts)) == counts).all()
+
+
 def test_shared_rows_over_batches():
     import pyarrow as pa
 
