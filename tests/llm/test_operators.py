@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -160,6 +161,53 @@ def test_no_link_of_a_dense_label_is_missed(spark):
     assert [found[i].component_id for i in range(6000)] == [top.get(i, i) for i in range(6000)]
 
 
+def test_recall_of_the_passes_in_a_dense_label(spark):
+    """Links near the threshold in a dense label, for every hundredth vector against all: the passes put them into one group."""
+    draw = np.random.default_rng(12)
+    n = 12000
+    x = draw.standard_normal(64) + 0.4 * draw.standard_normal((n, 64))  # mutual cosine about 0.86
+    x[n // 2 :] = x[: n // 2] + 0.3 * draw.standard_normal((n // 2, 64))
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    found = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    asked = np.arange(0, n, 100)
+    near = unit[asked] @ unit.T >= 0.93
+    near[np.arange(len(asked)), asked] = False
+    wanted = [(int(asked[a]), int(b)) for a, b in zip(*np.nonzero(near))]
+    together = sum(found[a].component_id == found[b].component_id for a, b in wanted)
+    assert len(wanted) > 100 and together >= 0.98 * len(wanted)
+    assert sum(found[int(a)].n_links for a in asked) >= 0.98 * len(wanted)
+    assert all(found[int(a)].n_links <= near[i].sum() for i, a in enumerate(asked))  # none below the threshold
+
+
+def test_vectors_are_linked_within_their_label_and_length(spark):
+    """Labels of a type other than int; small groups are counted together, but not with one another."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, "a"), (2, v, "a"), (3, v, "b"), (4, [2.0, 4.0, 6.1], "b"), (5, v + [0.0], "b"), (6, v, None), (7, v, "c")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_windows_see_across_batches_and_not_across_passes():
+    """Sorted rows cut into batches give the links of the whole; rows of another pass or label are not compared."""
+    draw = np.random.default_rng(3)
+    x = np.repeat(draw.standard_normal((40, 8)), 3, axis=0)
+    rows = pa.table({
+        "dim": pa.array([8] * 120, pa.int32()), "pass": pa.array([0] * 60 + [1] * 60, pa.int32()),
+        "label": pa.array([k // 30 for k in range(120)], pa.int64()), "group": pa.array(range(120), pa.int64()), "embedding": pa.array(list(x)),
+    })
+    for size in (1, 7, 120):
+        trees = [t for t in embeddings.windows(iter(rows.to_batches(size)), 0.99, 4)]
+        edges = [e for t in trees for e in zip(t["node"].to_pylist(), t["parent"].to_pylist())]
+        assert {k: p for k, p in roots([a for a, _ in edges], [b for _, b in edges]).items() if k != p} == {
+            k: k - k % 3 for k in range(120) if k % 3
+        }
+    moved = rows.set_column(1, "pass", pa.array([k % 2 for k in range(120)], pa.int32()))
+    assert not sum(t.num_rows for t in embeddings.windows(iter(moved.to_batches()), 0.99, 1))
+
+
 def test_vectors_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
