@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from editpulse.llm.common import WORD, Scratch, documents, whole
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-#: Beyond so many rows, cells are finer; the order, and so the result, is the same.
-MANY = 1 << 24
+#: Many documents agree in a size below this, so cells of such sizes are finer.
+SHORT = 64
 
 
 def offset_of(seed: int) -> float:
@@ -67,8 +67,8 @@ def mix(docs: DataFrame, with_rows: bool = False, seed: int = 8) -> DataFrame:
     bits = F.length(F.bin("size"))
     leading = F.call_function("shiftright", F.col("size"), F.greatest(bits - 6, F.lit(0)).cast("int"))
     cell = [F.lpad((bits * 64 + leading).cast("string"), 5, "0"), F.substring("_key", 1, 1)]
-    if rows.count() > MANY:
-        cell.append(F.lpad(F.col("size").cast("string"), 19, "0"))  # what comes next in the order
+    # What comes next in the order: the size, then the digits that follow.
+    cell += [F.lpad(F.col("size").cast("string"), 19, "0"), F.when(F.col("size") < SHORT, F.substring("_key", 2, 2)).otherwise(F.lit(""))]
     rows = rows.withColumn("_cell", F.concat(*cell))
     # Ranks in two levels: what cells before hold, then the rank within the cell; no task sorts a whole source.
     cells = rows.groupBy("source", "_cell").agg(F.count(F.lit(1)).alias("_n"))

@@ -19,7 +19,6 @@ from editpulse.session import configure
 #: Two primes below 2**31: products of two residues fit into a long.
 P, Q = 2147483647, 2147483629
 ROUNDS, WALKS = 6, 64
-MANY = 1 << 24
 
 
 def keys_of(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int, int]]:
@@ -78,7 +77,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 2) -> DataFrame:
     raw = whole().cast("binary")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     n_rows = docs.select(F.count(F.lit(1))).first()[0]
-    cell = F.substring("_key", 1, 3 if n_rows <= MANY else 4)  # at most 65,536 of them
+    cell = F.substring("_key", 1, 4)  # at most 65,536 of them
     cells = docs.select(key.alias("_key")).groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))

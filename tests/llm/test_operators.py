@@ -559,7 +559,7 @@ def test_mix_is_the_same_with_finer_cells(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     copies = lambda: {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
     few = copies()
-    monkeypatch.setattr(mixing, "MANY", 0)
+    monkeypatch.setattr(mixing, "SHORT", 1 << 20)
     assert copies() == few
 
 
