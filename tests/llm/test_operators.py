@@ -632,3 +632,46 @@ def test_line_dedup(docs, raw):
 
 def test_line_dedup_of_nothing(empty):
     assert lines.drop_repeated_lines(empty).count() == 0
+
+
+def test_flattened_trees_and_their_splits_against_slow_ones():
+    """A walk node by node gives the margin; no split between bins gains more than the one taken, tried one at a time."""
+    draw = np.random.default_rng(21)
+    x = np.round(draw.standard_normal((400, 3)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * draw.standard_normal(400) > 0).astype(float)
+    bins, levels = 8, 3
+    model = quality.fit(x, y, trees=6, levels=levels, bins=bins)
+    inner = 2**levels - 1
+
+    def walk(tree, row):
+        node = 0
+        while node < inner:
+            node = 2 * node + (2 if row[model.feature[tree, node]] > model.threshold[tree, node] else 1)
+        return model.value[tree, node - inner]
+
+    slow = [model.base + sum(walk(t, row) for t in range(6)) for row in x]
+    assert np.allclose(model.margin(x), slow, rtol=0, atol=1e-12)
+
+    p = 1 / (1 + np.exp(-model.base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+
+    def gain(rows, f, cut):
+        left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+        if min(h[left].sum(), h[right].sum()) < quality.LEAST_WEIGHT:
+            return 0.0
+        part = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.L2)
+        return part(left) + part(right) - part(rows)
+
+    members, splits = {0: np.arange(len(y))}, 0
+    for node in range(inner):
+        rows, f, cut = members[node], model.feature[0, node], model.threshold[0, node]
+        best = max((gain(rows, k, e) for k in range(3) for e in edges[k]), default=0.0)
+        taken = gain(rows, f, cut) if np.isfinite(cut) else 0.0
+        assert taken == pytest.approx(best, abs=1e-6)
+        splits += np.isfinite(cut)
+        members[2 * node + 1], members[2 * node + 2] = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+    assert splits > 3
+    for leaf in range(inner + 1):
+        rows = members[inner + leaf]
+        assert model.value[0, leaf] == pytest.approx(-quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2))
