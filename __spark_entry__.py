@@ -59,7 +59,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def past_baseline(events: DataFrame) -> DataFrame:
     """The baseline from everything before the trailing day."""
-    return history.article_baseline(windows.before_trailing(events, DAY))
+    return history.baseline_with_sums(windows.before_trailing(events, DAY))
 
 
 def staged(spark: SparkSession, frame: DataFrame, name: str, fmt: str = "parquet") -> str:
@@ -245,7 +245,7 @@ def topn_per_window(spark, sf_dir):
 
 def trending_replay(spark, sf_dir):
     events = edits(spark, sf_dir)
-    ranked = speed_layer.trending_replay(events, history.article_baseline(events), DAY, QUARTER_DAY)
+    ranked = speed_layer.trending_replay(events, history.baseline_with_sums(events), DAY, QUARTER_DAY)
     return plain(ranked)
 
 

@@ -81,6 +81,15 @@ def article_baseline(df: DataFrame) -> DataFrame:
     return article_hours(df).groupBy("title").agg(F.avg("hourly_edits").alias("baseline_edits_per_hour"))
 
 
+def baseline_with_sums(df: DataFrame) -> DataFrame:
+    """The baseline and the whole numbers it is the quotient of, for scores that are divided only once."""
+    return article_hours(df).groupBy("title").agg(
+        F.avg("hourly_edits").alias("baseline_edits_per_hour"),
+        F.sum("hourly_edits").alias("baseline_edits"),
+        F.count("hourly_edits").alias("baseline_hours"),
+    )
+
+
 def baseline_for(events: DataFrame, titles: DataFrame | Sequence[str], places: int = 4) -> DataFrame:
     """The baseline of the given titles: edits over active hours, rounded.
 

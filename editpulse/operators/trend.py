@@ -11,10 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions import hourly_rate, speed_score
+from ..functions import hourly_rate, speed_score, speed_score_of_sums
 from .filters import positive_baseline
 
 
+#: What a baseline may carry besides its quotient; see ``history.baseline_with_sums``.
+BASELINE_SUMS = ("baseline_edits", "baseline_hours")
+
+
 @dataclass(frozen=True)
 class TrendPolicy:
     """How counts become ranked rows.
@@ -34,13 +38,17 @@ class TrendPolicy:
 def _rate_rows(joined: DataFrame, window_seconds: int, settings: Settings) -> DataFrame:
     rate = hourly_rate(F.col("recent_edits"), window_seconds)
     known = F.col("baseline_edits_per_hour")
+    if set(BASELINE_SUMS) <= set(joined.columns):
+        speed = speed_score_of_sums(F.col("recent_edits"), window_seconds, *map(F.col, BASELINE_SUMS))
+    else:
+        speed = speed_score(rate, known)
     return joined.select(
         *_carried(joined),
         "title",
         "recent_edits",
         F.round(rate, 2).alias("current_edits_per_hour"),
         F.round(known, 2).alias("baseline_edits_per_hour"),
-        F.round(speed_score(rate, known), 2).alias("trend_score"),
+        F.round(speed, 2).alias("trend_score"),
         known.isNotNull().alias("baseline_available"),
     )
 
@@ -141,7 +149,8 @@ def score(
         if baseline is None:
             candidates = candidates.withColumn("baseline_edits_per_hour", F.lit(None).cast("double"))
         else:
-            usable = positive_baseline(baseline).select("title", "baseline_edits_per_hour")
+            sums = [c for c in BASELINE_SUMS if c in baseline.columns]
+            usable = positive_baseline(baseline).select("title", "baseline_edits_per_hour", *sums)
             candidates = candidates.join(usable, "title", "left")
     return policy.score(candidates, window_seconds, settings)
 

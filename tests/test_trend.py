@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from editpulse.config import Settings
-from editpulse.operators import display, live, trend
+from editpulse.operators import display, history, live, trend
 from editpulse.plans import serving, speed_layer
 from editpulse.schemas import BASELINE, SNAPSHOT
 from helpers import at, edits, rows
@@ -28,6 +28,23 @@ def test_worked_example(spark):
     assert row.baseline_available and row["rank"] == 1
 
 
+def test_scores_on_the_edge_of_rounding(spark):
+    """1012 / 24 * 2124 / 60720 is 1.475; after three divisions it was 1.4749999999999999. 2277 / 24 / 75 is 1.265."""
+    known = spark.createDataFrame(
+        [("a", 60720 / 2124, 60720, 2124), ("b", 75.0, 58200, 776), ("c", None, None, None)],
+        "title string, baseline_edits_per_hour double, baseline_edits long, baseline_hours long",
+    )
+    found = trend.trending(counts(spark, a=1012, b=2277, c=5), known, 86400)
+    assert ranked(found, "title", "trend_score") == [("a", 1.48), ("b", 1.27), ("c", None)]
+
+
+def test_baseline_with_its_sums(spark):
+    events = edits(spark, [(0, "A"), (10, "A"), (3600, "A"), (0, "B")])
+    assert rows(history.baseline_with_sums(events), "title", "baseline_edits_per_hour", "baseline_edits", "baseline_hours") == [
+        ("A", 1.5, 3, 2), ("B", 1.0, 1, 1),
+    ]
+
+
 def test_rates_of_a_published_snapshot(spark):
     found = trend.trending(counts(spark, a=8, b=4, c=3, d=2), None, 300)
     assert ranked(found, "title", "current_edits_per_hour", "trend_score", "baseline_available") == [
