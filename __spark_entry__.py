@@ -415,7 +415,7 @@ def stream_window_counts(spark, sf_dir):
 
 def run_trending_stream(spark, sf_dir) -> str:
     stream, root = edit_stream(spark, sf_dir, "trending")
-    baseline = history.article_baseline(edits(spark, sf_dir))
+    baseline = history.baseline_with_sums(edits(spark, sf_dir))
     query = trending_stream(stream, baseline, f"{root}/out", f"{root}/checkpoint", STREAM_SETTINGS, seconds=None)
     query.awaitTermination()
     return f"{root}/out"
