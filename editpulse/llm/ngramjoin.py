@@ -52,6 +52,8 @@ SKETCH_BITS, SLICE_BITS = 23, 14
 STEPS = 12
 #: A set's signature has 64 times so many bits; an n-gram sets one.
 SIGNED = 16
+#: A pair is not made again where one of so many runs before it has made it.
+RUNS_BEFORE = 64
 #: Broadcast up to so many rows of 24 bytes; beyond, shuffle.
 SMALL = 500_000
 MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], np.uint64)
@@ -363,14 +365,18 @@ def within_prefixes(a: str, b: str, a_place: str, b_place: str):
     return (F.col(a_place) <= x - overlap) & (F.col(b_place) <= y - overlap)
 
 
-def signatures_allow(a: str, b: str, a_size: str, b_size: str):
+def overlap_bound(a: str, b: str, a_size: str, b_size: str):
     """Exact bound of the overlap: a bit that only one set has stands for at least one n-gram that only it has."""
     def common(p: str, size: str, q: str):
         alone = (F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(SIGNED))
-        return F.col(size) - reduce(Column.__add__, alone)
+        return F.col(size).cast("long") - reduce(Column.__add__, alone)
+
+    return F.least(common(a, a_size, b), common(b, b_size, a))
+
 
+def signatures_allow(a: str, b: str, a_size: str, b_size: str):
     needed = NUMERATOR * (F.col(a_size).cast("long") + F.col(b_size))
-    return ((NUMERATOR + DENOMINATOR) * common(a, a_size, b) >= needed) & ((NUMERATOR + DENOMINATOR) * common(b, b_size, a) >= needed)
+    return (NUMERATOR + DENOMINATOR) * overlap_bound(a, b, a_size, b_size) >= needed
 
 
 def runs_of(shared: DataFrame) -> DataFrame:
@@ -378,9 +384,11 @@ def runs_of(shared: DataFrame) -> DataFrame:
 
     A passage or a family of copies brings many such n-grams; what they are worth
     is counted in ``weight``, and ``place`` is where the first of them, the same for all, stands. A run is named by the exclusive or of its classes' hashes.
+    Should two runs ever get one name, classes meet that need not: no pair is lost.
     """
     a, b = two_hashes(F.col("class"))
     names = shared.groupBy("gram").agg(F.struct(F.bit_xor(a).alias("a"), F.bit_xor(b).alias("b"), F.count(F.lit(1)).alias("n")).alias("run"))
+    names = names.select("gram", F.xxhash64("run.a", "run.b", "run.n").alias("run"))
     return shared.join(names, "gram").groupBy("run", "class", "size").agg(F.count(F.lit(1)).alias("weight"), F.min("place").alias("place"))
 
 
@@ -411,28 +419,40 @@ def star_pairs(runs: DataFrame, groups: DataFrame, tried: DataFrame | None, k: i
     return best.select("x", "y")
 
 
-def all_pairs(runs: DataFrame, groups: DataFrame, signed_classes: DataFrame) -> DataFrame:
-    """Every pair that passes the filters and lies in different groups; each once.
+def meetings(runs: DataFrame, groups: DataFrame, signed_classes: DataFrame) -> DataFrame:
+    """x, y, n: the pairs that pass the filters and lie in different groups, where they meet first; ``n`` bounds the overlap.
 
     In each run, the classes outside the run's largest group meet all others; those
     inside it have nothing to find among themselves. The signatures drop most pairs
-    of a family that are not similar while they are made.
+    of a family that are not similar while they are made. The order of n-grams is one
+    for all classes, so the first run that two have in common is the same for both, and
+    is where the positional filter holds; of a pair's other runs, those with a common one among the
+    ``RUNS_BEFORE`` before it give nothing.
     """
-    rows = runs.join(groups, "class")
-    sizes = rows.groupBy("run", "group").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("class").orderBy("place", "run").rowsBetween(-RUNS_BEFORE, -1)
+    rows = runs.withColumn("before", F.collect_list("run").over(before)).join(groups, "class")
+    sizes = runs.join(groups, "class").groupBy("run", "group").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("run").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"))
     rows = rows.join(mains.where("groups > 1").drop("groups"), "run").join(signed_classes, "class")
-    few = rows.where("group != main").select("run", F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"), F.col("place").alias("a_place"), F.col("signature").alias("a_bits"), "weight")
-    every = rows.select(
-        F.col("run").alias("of"), F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"), F.col("place").alias("b_place"), F.col("signature").alias("b_bits"), "main"
-    )
+
+    def side(name: str, run: str, *more: str) -> DataFrame:
+        known = {"class": name, "size": f"{name}_size", "group": f"{name}_group", "place": f"{name}_place", "signature": f"{name}_bits", "before": f"{name}_before"}
+        return rows.select(F.col("run").alias(run), *(F.col(c).alias(of) for c, of in known.items()), *more)
+
+    few, every = side("a", "run", "main").where("a_group != main").drop("main"), side("b", "of", "main")
     met = few.join(every, F.col("run") == F.col("of")).where(
         (F.col("a_group") != F.col("b_group")) & lengths_allow("a_size", "b_size")
         & within_prefixes("a_size", "b_size", "a_place", "b_place")
         & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
         & signatures_allow("a_bits", "b_bits", "a_size", "b_size")
+        & ~F.arrays_overlap("a_before", "b_before")
     )
-    return met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("weight").alias("n"))
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), overlap_bound("a_bits", "b_bits", "a_size", "b_size").alias("n"))
+
+
+def all_pairs(runs: DataFrame, groups: DataFrame, signed_classes: DataFrame) -> DataFrame:
+    """Every pair that passes the filters and lies in different groups; each once."""
+    return meetings(runs, groups, signed_classes).groupBy("x", "y").agg(F.max("n").alias("n"))
 
 
 def with_swapped(tried: DataFrame | None, pairs: DataFrame) -> DataFrame:

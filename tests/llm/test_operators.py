@@ -385,6 +385,25 @@ def test_signatures_never_drop_a_similar_pair(spark):
     assert ngramjoin.signatures([]).to_pylist() == [] and ngramjoin.signatures([sets[0][:0]]).to_pylist() == [None]
 
 
+def test_pairs_of_the_last_rounds_meet_once(spark, monkeypatch):
+    """Copies that share many runs meet in the first one only, and no similar pair is missing; a short memory of runs repeats pairs, but loses none."""
+    draw = np.random.default_rng(3)
+    base = [draw.integers(0, 2**64, 150, np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([draw.choice(b, 140, replace=False), draw.integers(0, 2**64, 8, np.uint64)])) for b in base for _ in range(14)]
+    counts = Counter(int(g) for s in sets for g in s)
+    prefixes = [sorted(map(int, s), key=lambda g: (counts[g], g))[: ngramjoin.prefix_length(len(s))] for s in sets]
+    shared = [(ngramjoin.signed(g), k, len(sets[k]), at) for k, p in enumerate(prefixes) for at, g in enumerate(p) if counts[g] > 1]
+    runs = ngramjoin.runs_of(spark.createDataFrame(shared, "gram long, class long, size int, place int")).cache()
+    groups = spark.createDataFrame([(k, k) for k in range(len(sets))], "class long, `group` long")
+    signed = spark.createDataFrame(list(zip(range(len(sets)), ngramjoin.signatures(sets).to_pylist())), "class long, signature array<long>")
+    linked = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(np.intersect1d(x, y)) >= ngramjoin.least_overlap(len(x), len(y))}
+    made = [(r.x, r.y) for r in ngramjoin.meetings(runs, groups, signed).collect()]
+    assert len(linked) > 100 and linked <= set(made) and len(made) == len(set(made))
+    monkeypatch.setattr(ngramjoin, "RUNS_BEFORE", 1)
+    again = [(r.x, r.y) for r in ngramjoin.meetings(runs, groups, signed).collect()]
+    assert set(again) >= linked and len(again) > len(made)
+
+
 def test_slices_of_the_sketch_come_back():
     counts = np.random.default_rng(1).integers(0, 256, 1 << ngramjoin.SLICE_BITS).astype(np.uint32)
     for top in (255, 256, 2**32 - 1):
