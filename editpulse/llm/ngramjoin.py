@@ -54,6 +54,8 @@ STEPS = 12
 SIGNED = 16
 #: A pair is not made again where one of so many runs before it has made it.
 RUNS_BEFORE = 64
+#: Texts grow several times over in a worker, and several workers share an executor.
+BATCH_BYTES = "4m"
 #: Broadcast up to so many rows of 24 bytes; beyond, shuffle.
 SMALL = 500_000
 MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], np.uint64)
@@ -485,6 +487,7 @@ def similar_documents(docs: DataFrame, n: int = WORDS, star_rounds: int = STAR_R
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     texts = docs.select("doc_id", whole().alias("text"))
     a, b = two_hashes(F.col("text"))
     measured = scratch.table(texts.select("doc_id", "text", a.alias("t1"), b.alias("t2")).mapInArrow(partial(measure, n=n), SIZED), "measured")
