@@ -404,6 +404,23 @@ def test_pairs_of_the_last_rounds_meet_once(spark, monkeypatch):
     assert set(again) >= linked and len(again) > len(made)
 
 
+def test_texts_reach_the_ngram_workers_in_small_batches(spark, monkeypatch):
+    """Of 12 MB in one partition a worker gets some 4 MB at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngramjoin, "measure", lambda *_: (_ for _ in ()).throw(AssertionError))  # the settings are made before any job
+    texts = spark.range(120).coalesce(1).selectExpr("id as doc_id", "repeat('word ', 20000) as text")
+    with pytest.raises(Exception):
+        ngramjoin.similar_documents(texts)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 11_000_000 and max(found) < 6_000_000
+
+
 def test_slices_of_the_sketch_come_back():
     counts = np.random.default_rng(1).integers(0, 256, 1 << ngramjoin.SLICE_BITS).astype(np.uint32)
     for top in (255, 256, 2**32 - 1):
