@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from editpulse.llm.common import Scratch, documents, tokenizer_file
-from editpulse.llm.tokens import batch_ids
+from editpulse.llm.tokens import text_ids
 
 LIMIT, SEGMENTS = 4096, 1024
 END = 2
 #: Examples of a block at most about; a block loses part of a sequence at its end.
 BLOCK = 2048
+#: Texts grow several times over in a worker, and several workers share an executor.
+BATCH_BYTES = "4m"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -36,11 +38,9 @@ def cut(batches: Iterator[pa.RecordBatch], path: str, limit: int, end: int) -> I
         columns = [[], [], [], [], []]
         if not batch.num_rows:
             continue
-        all_ids, ends = batch_ids(path, pc.fill_null(batch.column("text"), ""))
-        raw, ends, begin = memoryview(all_ids.tobytes()), ends.tolist(), 0
-        for doc, stop in zip(batch.column("doc_id").to_pylist(), ends):
-            ids = bytes(raw[4 * begin : 4 * stop]) + tail
-            begin = stop
+        texts = text_ids(path, pc.fill_null(batch.column("text"), ""))
+        for doc, found in zip(batch.column("doc_id").to_pylist(), texts):
+            ids = found.tobytes() + tail
             n = len(ids) // 4
             for start in range(0, n, limit):
                 piece = ids[4 * start : 4 * (start + limit)]
@@ -111,6 +111,7 @@ def pack(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     path = path or tokenizer_file("word_bpe_49k.json")
     pieces = scratch.table(docs.select("doc_id", "text").mapInArrow(partial(cut, path=path, limit=limit, end=end), PIECES), "pieces")
     blocks = pieces.count() // block + 1

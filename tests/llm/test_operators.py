@@ -60,6 +60,55 @@ def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_a_packing_worker_keeps_nothing_between_batches():
+    """Ten batches of 20,000 words that no other batch has: 67 MB where all were remembered."""
+    import tracemalloc
+
+    def batches():
+        for k in range(11):
+            if k == 1:  # the tokenizer is loaded by then
+                tracemalloc.start()
+            text = " ".join(f"{a}{b}{c},"[k % 2 :] for a in prefixes for b in prefixes[k :: 11] for c in prefixes[:45])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([text])], ["doc_id", "text"])
+
+    prefixes = [x + y for x in "bdfgklmnprstvz" for y in ("a", "e", "i", "o", "u", "ar", "en", "ol")]
+    try:
+        n = sum(b.num_rows for b in packing.cut(batches(), tokenizer_file("word_bpe_49k.json"), 4096, 2))
+        kept, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert n > 100 and kept < 8_000_000
+
+
+def test_texts_reach_the_packing_workers_in_small_batches(spark, monkeypatch):
+    """Of 12 MB in one partition a worker gets some 4 MB at a time."""
+    monkeypatch.setattr(packing, "cut", lambda *_, **__: (_ for _ in ()).throw(AssertionError))  # the settings are made before any job
+    texts = spark.range(120).coalesce(1).selectExpr("id as doc_id", "repeat('word ', 20000) as text")
+    with pytest.raises(Exception):
+        packing.pack(texts)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 11_000_000 and max(found) < 6_000_000
+
+
+@pytest.mark.parametrize("gathered", [1, 7, 1 << 18])
+def test_ids_of_texts_however_they_are_put_together(raw, monkeypatch, gathered):
+    from editpulse.llm import tokens
+
+    path = tokenizer_file("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = [text or "" for _, text, *_ in raw] + ["ÀÉß,; Été--x naïve\u0301 İstanbul ÿ×÷", "[UNK] a <unk> B", "a\u00a0b \u3000c", "don't  STOP!!\t...\x0b(Hm)", " "]
+    monkeypatch.setattr(tokens, "GATHERED", gathered)
+    monkeypatch.setattr(tokens, "AT_ONCE", 5)
+    monkeypatch.setattr(tokens, "OTHER_AT_ONCE", 2)
+    assert word_ids(path, texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert word_ids(path, []) == []
+
+
 # ------------------------------------------------------------ 2
 
 
